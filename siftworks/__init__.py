@@ -1 +1,9 @@
 """Credential scanning, blob analysis and file-event streams as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions sent to executors travel with the helpers they call, so the
+# package needs to be installed on the driver only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
