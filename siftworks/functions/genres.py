@@ -28,7 +28,8 @@ GENRES = (
 
 
 def genres_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(GENRES)), "genre_code int, genre string")
+    names = F.array(*[F.lit(name) for name in GENRES])
+    return spark.range(1).select(F.posexplode(names).alias("genre_code", "genre"))
 
 
 def genre_lookup(df: DataFrame, code: str = "genre_code") -> DataFrame:

@@ -119,14 +119,19 @@ def covered_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def apply_gitignore(findings: DataFrame, rules: DataFrame, repo: str = "repo") -> DataFrame:
-    """Set ``git_ignored`` on file findings; findings in commits are never covered."""
+    """Set ``git_ignored`` on file findings; findings in commits are never covered.
+
+    The findings are used twice, for their paths and for the result: pass them
+    ``staged`` when they come from a scan.
+    """
     in_file = F.col("location.source") == "file"
     paths = findings.filter(in_file).select(F.col(repo).alias("repo"), F.col("location.path").alias("path"))
     covered = covered_paths(paths, rules).select(
         F.col("repo").alias("_repo"), F.col("path").alias("_path"), F.lit(True).alias("_covered")
     )
-    joined = findings.join(
-        covered, in_file & (F.col(repo) == F.col("_repo")) & (F.col("location.path") == F.col("_path")), "left"
-    )
+    # a commit finding has no path; its own key keeps all of them from meeting in one task
+    key = F.coalesce(F.col("location.path"), F.concat("location.hash", F.lit(":"), "location.file", "matched_text"))
+    keyed = findings.withColumn("_key", key)
+    joined = keyed.join(covered, (F.col(repo) == F.col("_repo")) & (F.col("_key") == F.col("_path")) & in_file, "left")
     flagged = joined.withColumn("git_ignored", F.coalesce("_covered", F.lit(False)))
-    return flagged.drop("_repo", "_path", "_covered")
+    return flagged.drop("_repo", "_path", "_key", "_covered")

@@ -34,12 +34,20 @@ def delta_lines(base: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("pa
     raise ValueError(f"mode must be multiset or lcs, not {mode!r}")
 
 
+def _changed(base: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both versions of the files that differ; digests are compared, so unchanged texts are not shuffled."""
+    had = base.select(*keys, F.sha2("text", 256).alias("_had"))
+    has = new.select(*keys, F.sha2("text", 256).alias("_has"))
+    differing = has.join(had, keys, "left").filter(~F.col("_has").eqNullSafe(F.col("_had"))).select(*keys)
+    return base.join(differing, keys, "left_semi"), new.join(differing, keys, "left_semi")
+
+
 def _multiset(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
     groups = [*keys, "line"]
-    had = explode_lines(base.select(*keys, "text")).groupBy(*groups).agg(F.count("*").alias("_had"))
-    lines = explode_lines(new.select(*keys, "text"))
+    had = explode_lines(base).groupBy(*groups).agg(F.count("*").alias("_had"))
     stretch = F.floor((F.col("line_no") - 1) / STRETCH)
-    nth = ranked(lines, groups, stretch, ["line_no"], name="_nth", attach=had)
+    nth = ranked(explode_lines(new), groups, stretch, ["line_no"], name="_nth", attach=had)
     return nth.filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).select(*keys, "line_no", "line")
 
 
@@ -68,8 +76,8 @@ def _aligned(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
                 [_added_line_numbers([] if o is None else list(o), list(n)) for o, n in zip(olds, nows, strict=True)]
             )
 
-    old = base.select(*keys, F.col("text").alias("_old"))
-    pairs = new.select(*keys, "text").join(old, keys, "left").filter(~F.col("text").eqNullSafe(F.col("_old")))
+    base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
+    pairs = new.join(base.withColumnRenamed("text", "_old"), keys, "left")
     parts = pairs.select(*keys, split_lines(F.col("text")).alias("_now"), split_lines(F.col("_old")).alias("_was"))
     numbered = parts.filter(F.col("_now").isNotNull()).withColumn("_added", added("_was", "_now"))
     exploded = numbered.select(*keys, "_now", F.explode("_added").alias("line_no"))

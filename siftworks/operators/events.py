@@ -173,37 +173,41 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     they are paired in the order of their hashed paths, which lets a digest shared
     by a large part of all files be ranked in 256 pieces.
     """
-    before = old.select("path", *[F.col(c).alias(f"_o_{c}") for c in ("length", "modified", "sha256")], F.lit(1).alias("_o"))
-    after = new.select("path", *[F.col(c).alias(f"_n_{c}") for c in ("length", "modified", "sha256")], F.lit(1).alias("_n"))
-    both = before.join(after, "path", "full")
-    same = F.lit(True)
-    for column in ("length", "modified", "sha256"):
-        same = same & F.col(f"_o_{column}").eqNullSafe(F.col(f"_n_{column}"))
-    modified = both.filter(F.col("_o").isNotNull() & F.col("_n").isNotNull() & ~same).select(
-        F.lit("modify").alias("kind"), F.lit("data").alias("kind_detail"), "path", F.lit(None).cast("string").alias("from_path")
+    facts = ("length", "modified", "sha256")
+    before = old.select("path", F.struct(*facts).alias("_before"))
+    after = new.select("path", F.struct(*facts).alias("_after"))
+    gone, arrived = F.col("_after").isNull(), F.col("_before").isNull()
+    kind = F.when(gone, F.lit("remove")).when(arrived, F.lit("create")).otherwise(F.lit("modify"))
+    changes = (
+        before.join(after, "path", "full")
+        .filter(~F.col("_before").eqNullSafe(F.col("_after")))
+        .select("path", kind.alias("kind"), F.coalesce("_after.sha256", "_before.sha256").alias("_sha256"))
     )
+    # a changed file, or one without a digest, is a group of its own
+    alone = (F.col("kind") == "modify") | F.col("_sha256").isNull()
+    grouped = changes.select(
+        "path",
+        "kind",
+        F.when(alone, F.concat(F.lit("path:"), F.col("path"))).otherwise(F.col("_sha256")).alias("_group"),
+        F.md5("path").alias("_order"),
+    )
+    bucket = F.conv(F.substring("_order", 1, 2), 16, 10).cast("int")
+    numbered = ranked(grouped, ["_group", "kind"], bucket, ["_order", "path"], name="_nth")
 
-    def side(gone: str, digest: str, name: str) -> DataFrame:
-        rows = both.filter(F.col(gone).isNull()).select(
-            F.coalesce(F.col(digest), F.concat(F.lit(name + ":"), F.col("path"))).alias("_digest"),
-            F.col("path").alias(name),
-            F.md5(F.col("path")).alias("_order"),
-        )
-        bucket = F.conv(F.substring("_order", 1, 2), 16, 10).cast("int")
-        return ranked(rows, ["_digest"], bucket, ["_order", name], name="_nth").drop("_order")
-
-    removed, created = side("_n", "_o_sha256", "_removed"), side("_o", "_n_sha256", "_created")
-    paired = removed.join(created, ["_digest", "_nth"], "full")
-    kind = (
-        F.when(F.col("_created").isNull(), F.lit("remove"))
-        .when(F.col("_removed").isNull(), F.lit("create"))
-        .otherwise(F.lit("modify"))
+    def path_of(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("path")))
+
+    pairs = numbered.groupBy("_group", "_nth").agg(
+        path_of("modify").alias("_modified"), path_of("remove").alias("_removed"), path_of("create").alias("_created")
     )
-    moved = F.col("_created").isNotNull() & F.col("_removed").isNotNull()
-    others = paired.select(
-        kind.alias("kind"),
-        F.when(moved, F.lit("name_both")).alias("kind_detail"),
-        F.coalesce("_created", "_removed").alias("path"),
-        F.when(moved, F.col("_removed")).alias("from_path"),
+    modified = F.col("_modified").isNotNull()
+    renamed = F.col("_created").isNotNull() & F.col("_removed").isNotNull()
+    return pairs.select(
+        F.when(modified | renamed, F.lit("modify"))
+        .when(F.col("_created").isNull(), F.lit("remove"))
+        .otherwise(F.lit("create"))
+        .alias("kind"),
+        F.when(modified, F.lit("data")).when(renamed, F.lit("name_both")).alias("kind_detail"),
+        F.coalesce("_modified", "_created", "_removed").alias("path"),
+        F.when(renamed, F.col("_removed")).alias("from_path"),
     )
-    return modified.unionByName(others)

@@ -3,7 +3,7 @@
 Every rule is unrolled into the plan as literals, so each regex is compiled once
 per task.  A cheap filter (a few ``contains`` on the line as it is) keeps nearly all
 lines away from the regexes; only the rest is case-folded and tried rule by rule,
-behind each rule's own anchors.  The filter reads columns of the line generator,
+behind tests shared by many rules and each rule's own anchors.  The filter reads columns of the line generator,
 so it runs in the same stage, after any repartitioning of the texts.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftworks.functions.dialect import first_match_prefix, to_java
-from siftworks.functions.rules import Rule
+from siftworks.functions.rules import GATES, Rule
 from siftworks.functions.severity import rank_of
 from siftworks.functions.text import fold, split_lines, trim_end
 
@@ -71,6 +71,8 @@ def _hit(rule: Rule, number: int, redact: bool) -> str:
     tests = []
     if rule.env_only:
         tests.append("_env")
+    if rule.gate:
+        tests.append(f"_gate_{rule.gate}")
     if rule.anchors:
         subject = "_folded" if rule.folded else "_line"
         tests.append("(" + " OR ".join(f"contains({subject}, {_literal(a)})" for a in rule.anchors) + ")")
@@ -128,12 +130,14 @@ def match_rules(
     worth = _worth_trying([r for r in rules if not r.env_only], text)
     if env is not None:
         worth = worth | (env & _worth_trying([r for r in rules if r.env_only], text))
+    gates = sorted({r.gate for r in rules if r.gate})
     candidates = lines.filter(worth).select(
         *keep,
         text.alias("_line"),
         fold(text).alias("_folded"),
         (F.lit(False) if env is None else env).alias("_env"),
     )
+    candidates = candidates.select("*", *[F.rlike("_folded", F.lit(GATES[g])).alias(f"_gate_{g}") for g in gates])
     hits = candidates.select(*keep, F.inline(F.expr(_matches(rules, env is not None, redact))))
     token = F.col("_token")
     return hits.select(

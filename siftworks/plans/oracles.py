@@ -297,11 +297,11 @@ ORACLES["read_bytes_padded"] = f"""
     SELECT path, rpad({_cut("doc_id * 7 % 400", "48")}, 96, '0') AS bytes_hex FROM ({_BLOBS})"""
 ORACLES["hex_cells"] = f"SELECT path, md5({_CELLS.format('h')}) AS cells_md5 FROM ({_BLOBS})"
 _DUMP = f"""
-    SELECT path, row_offset, printf('%08X', row_offset) AS offset, {_cut("row_offset", "16")} AS cells
+    SELECT path, row_offset, printf('%08X', row_offset) AS "offset", {_cut("row_offset", "16")} AS cells
     FROM (SELECT *, unnest(range(0, n, 16)) AS row_offset FROM ({_BLOBS}))"""
 # the gutter: a byte is printable when its two digits are between 20 and 7E
 ORACLES["hex_dump_rows"] = f"""
-    SELECT path, row_offset, offset, rtrim(regexp_replace(cells, '(..)', '\\1 ', 'g')) AS hex,
+    SELECT path, row_offset, "offset", rtrim(regexp_replace(cells, '(..)', '\\1 ', 'g')) AS hex,
            array_to_string(list_transform(regexp_extract_all(cells, '..'),
                lambda c: CASE WHEN c BETWEEN '20' AND '7E' THEN chr(CAST('0x' || c AS INTEGER)) ELSE '.' END), '') AS ascii
     FROM ({_DUMP})"""
@@ -357,10 +357,10 @@ ORACLES["verify_copies"] = f"""
 # --- edits -----------------------------------------------------------------------------
 
 _COMMANDS = f"""
-    SELECT *, length(d) // 2 AS m, {_resolved("at")} AS p, {_resolved("till")} AS q
-    FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN at + 1 WHEN doc_id % 2 = 0 THEN at - length(d) // 2
-                         ELSE at + length(d) // 2 END AS till
-          FROM (SELECT *, doc_id * 37 % (2 * n + 6) - n AS at, hex(encode('DATA' || doc_id)) AS d,
+    SELECT *, length(d) // 2 AS m, {_resolved("pos")} AS p, {_resolved("till")} AS q
+    FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN pos + 1 WHEN doc_id % 2 = 0 THEN pos - length(d) // 2
+                         ELSE pos + length(d) // 2 END AS till
+          FROM (SELECT *, doc_id * 37 % (2 * n + 6) - n AS pos, hex(encode('DATA' || doc_id)) AS d,
                        hex(encode(reverse('DATA' || doc_id))) AS rd, doc_id % 3 = 0 AS grow, doc_id % 5 = 0 AS turn
                 FROM ({_BLOBS})))"""
 _ZEROS = "repeat('00', greatest({0}, 0)::INT)"
@@ -418,7 +418,7 @@ ORACLES["patch_hex"] = f"""
           FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'ABC'
                                ELSE 'DEAD' || printf('%X', doc_id + 4096) END AS typed FROM ({_COMMANDS})))"""
 _WITH_PAYLOAD = f"""
-    SELECT c.* EXCLUDE (d, rd, m, p, at), CASE WHEN c.doc_id % 17 = 0 THEN 0 ELSE c.p END AS p,
+    SELECT c.* EXCLUDE (d, rd, m, p, pos), CASE WHEN c.doc_id % 17 = 0 THEN 0 ELSE c.p END AS p,
            coalesce(o.d, c.d) AS d, coalesce(o.rd, c.rd) AS rd, length(coalesce(o.d, c.d)) // 2 AS m
     FROM ({_COMMANDS}) c
     LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN substr(h, 81) ELSE h END AS d,
@@ -448,8 +448,8 @@ _RUNS = f"""
     FROM ({_ISLANDS}) GROUP BY path, island"""
 ORACLES["coalesce_runs"] = _RUNS
 _OVERLAID = f"""
-    SELECT b.path, i, b.n, coalesce(printf('%02X', e.byte), {_cut("i", "1", "b.h")}) AS cell, e.byte IS NOT NULL AS dirty
-    FROM (SELECT *, unnest(range(n)) AS i FROM ({_BLOBS})) b
+    SELECT b.path, i, coalesce(printf('%02X', e.byte), stored) AS cell, e.byte IS NOT NULL AS dirty
+    FROM (SELECT path, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS stored FROM ({_BLOBS})) b
     LEFT JOIN ({_EDITS}) e ON b.path = e.path AND b.i = e."offset" """
 ORACLES["apply_runs"] = f"""
     SELECT path, md5(string_agg(cell, '' ORDER BY i)) AS content_md5 FROM ({_OVERLAID}) GROUP BY path"""
@@ -496,9 +496,12 @@ def _bursts(gap: int) -> str:
 
 
 ORACLES["debounce_batch"] = _bursts(registry.GAP_MICROS)
+# a burst is delivered once the watermark, one hour behind the latest event, has passed its end
+ORACLES["debounce_stream"] = f"""
+    SELECT * FROM ({_bursts(registry.GAP_MICROS)})
+    WHERE last_micros + {registry.GAP_MICROS} <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"""
 _WATCHED = f"""
-    SELECT * FROM ({_EVENTS}) WHERE string_split(path, '/')[1] IN ('u1', 'u2', 'u3', 'u11', 'u19')
-       AND kind IN ('create', 'modify')"""
+    SELECT * FROM ({_EVENTS}) WHERE kind IN ('create', 'modify')"""
 ORACLES["plan_actions"] = f"""
     SELECT seq, path AS source, '/out/' || string_split(path, '/')[-1] AS destination, 'copy' AS effect FROM ({_WATCHED})"""
 ORACLES["dest_collisions"] = f"""

@@ -17,15 +17,15 @@ from siftworks.operators import coverage, delta, edits, events, findings, histor
 from siftworks.operators.blobs import hex_dump, scan_strings, strings_filter, strings_shown, verify_copy
 from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
+from siftworks.session import staged, work_dir
 from siftworks.sources import readers, writers
-from siftworks.session import work_dir
 from siftworks.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHOWN = ("rule_name", "severity", "matched_text", "line_content")
-CUSTOM_PATTERN = r"\b[A-Z][a-z]+(?:heit|keit|ung)\b"
+CUSTOM_PATTERN = r"[A-Z][a-z]+(?:heit|keit|ung)[ ,.]"
 SCAN_IGNORES = ("vendor/", "app", "# not a pattern here", "d7.py")
 ROOT_IGNORES = (
     "# build output\n*.env\n.env*\n/vendor/\n!keep/**\n**/app/d1*.js\nbuild/**\n*.lock\n!d[0-4]*.lock\n   \nd?[5-9].md\n"
@@ -196,7 +196,7 @@ def _ignore_files(files: DataFrame) -> DataFrame:
 
 def _covered_findings(spark, sf_dir):
     files = derive.files(spark, sf_dir)
-    found = scans.scan_tree(files, scans.ScanOptions(), "repo")
+    found = staged(scans.scan_tree(files, scans.ScanOptions(), "repo"), "findings")
     return coverage.apply_gitignore(found, coverage.load_gitignore_rules(_ignore_files(files.select("repo"))))
 
 
@@ -728,9 +728,13 @@ def debounce_batch(spark, sf_dir):
     return events.debounce(log, GAP_MICROS)
 
 
+WATCH = events.MonitorOptions(
+    tuple(f"u{k}" for k in range(20)), "copy", "/out", on_create=True, on_modify=True, on_rename=True
+)
+
+
 def _monitored(spark, sf_dir):
-    options = events.MonitorOptions(("u1", "u2", "u3", "u11", "u19"), "copy", "/out", on_create=True, on_modify=True, on_rename=True)
-    return events.select_events(derive.file_events(spark, sf_dir), options)
+    return events.select_events(derive.file_events(spark, sf_dir), WATCH)
 
 
 @query
@@ -829,10 +833,9 @@ def debounce_stream(spark, sf_dir):
 @query
 def monitor_dry_run(spark, sf_dir):
     folder = work_dir(spark, "monitor")
-    options = events.MonitorOptions(("u1", "u2", "u3", "u11", "u19"), "copy", "/out", on_create=True, on_modify=True, on_rename=True)
     log = derive.as_file_events(_stream(spark, sf_dir, "events")).withColumn("ts", F.timestamp_micros("ts_micros"))
     running = streams.monitor(
-        log, options, out=folder + "/out", checkpoint=folder + "/checkpoint", available_now=True
+        log, WATCH, out=folder + "/out", checkpoint=folder + "/checkpoint", available_now=True
     )
     running.awaitTermination()
     return spark.read.parquet(folder + "/out").select("source", "destination", "effect", "done")

@@ -15,6 +15,7 @@ from siftworks.operators.delta import delta_lines
 from siftworks.operators.findings import as_findings, dedup_findings, file_location
 from siftworks.operators.history import scan_history
 from siftworks.operators.match import match_rules, scan_text
+from siftworks.session import staged
 from siftworks.sources.readers import binary_files, decode_text, tree_filter
 
 
@@ -79,7 +80,8 @@ def scan_repository(
             ignore=options.all_ignores, scan_ignore=options.scan_ignore, redact=options.redact,
         )
         findings = union_sources(findings, history.drop("commit_pos", "seq"))
-    return apply_gitignore(dedup_findings(findings, "repo"), load_gitignore_rules(files))
+    findings = staged(dedup_findings(findings, "repo"), "findings")
+    return apply_gitignore(findings, load_gitignore_rules(files))
 
 
 def union_sources(findings: DataFrame, *others: DataFrame | None) -> DataFrame:
@@ -94,6 +96,6 @@ def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> Data
     """Scan the files below a folder; the folder is the repository whose ignore files count."""
     files = binary_files(spark, root).withColumn("repo", F.lit(root))
     wanted = files.filter(tree_filter(F.col("path"), options.all_ignores, options.scan_ignore))
-    findings = scan_files(decode_text(wanted), options, "repo")
+    findings = staged(scan_files(decode_text(wanted), options, "repo"), "findings")
     ignore_files = binary_files(spark, root, name_glob=".gitignore").withColumn("repo", F.lit(root))
     return apply_gitignore(findings, load_gitignore_rules(decode_text(ignore_files))).drop("repo")

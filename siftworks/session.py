@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # methods above this size are never compiled to machine code; the rule array is one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,20 +29,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return spark
 
 
+_local_base: str | None = None
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting falls back to a temporary folder.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="siftworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local_base = base = _local_base or tempfile.mkdtemp(prefix="siftworks-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For a small result of an expensive plan that is used more than once: the plan
+    runs once, and a lost executor costs no recomputation.
+    """
+    folder = work_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by ``keys`` when a scan has fewer partitions than the session has cores.
 
