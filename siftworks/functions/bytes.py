@@ -78,7 +78,9 @@ def parse_int_auto(text: Column, dialect: str = "cli", unsigned: bool = False) -
     inner = r"\+?" if unsigned or not strict else r"[+-]?"
     hex_form = f"{prefix}0[xX]({inner})([0-9a-fA-F]+){end}"
     digits = F.regexp_extract(word, hex_form, 2)
-    magnitude = F.try_to_number(F.conv(digits, 16, 10), F.lit("9" * 20)).try_cast("long")
+    # more than 16 digits never fit, and conv would raise on them
+    significant = F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
+    magnitude = F.when(F.length(significant) <= 16, F.conv(significant, 16, 10)).try_cast("long")
     negative = F.startswith(word, F.lit("-")) != (F.regexp_extract(word, hex_form, 1) == "-")
     sign = r"\+?" if unsigned else r"[+-]?"
     decimal = F.regexp_extract(word, rf"\A({sign}[0-9]+){end}", 1)

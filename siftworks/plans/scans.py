@@ -16,7 +16,8 @@ from siftworks.operators.findings import as_findings, dedup_findings, file_locat
 from siftworks.operators.history import scan_history
 from siftworks.operators.match import match_rules, scan_text
 from siftworks.session import staged
-from siftworks.sources.readers import binary_files, decode_text, tree_filter
+from siftworks.sources.readers import decode_text, list_tree, tree_filter
+from siftworks.sources.trees import with_content
 
 
 @dataclass(frozen=True)
@@ -94,8 +95,10 @@ def union_sources(findings: DataFrame, *others: DataFrame | None) -> DataFrame:
 
 def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
     """Scan the files below a folder; the folder is the repository whose ignore files count."""
-    files = binary_files(spark, root).withColumn("repo", F.lit(root))
-    wanted = files.filter(tree_filter(F.col("path"), options.all_ignores, options.scan_ignore))
-    findings = staged(scan_files(decode_text(wanted), options, "repo"), "findings")
-    ignore_files = binary_files(spark, root, name_glob=".gitignore").withColumn("repo", F.lit(root))
-    return apply_gitignore(findings, load_gitignore_rules(decode_text(ignore_files))).drop("repo")
+    listing = list_tree(spark, root, ignore=options.all_ignores, scan_ignore=options.scan_ignore)
+    path = F.col("path")
+    texts = decode_text(with_content(listing.filter(~is_binary_ext(path)))).withColumn("repo", F.lit(root))
+    findings = staged(scan_files(texts, options, "repo"), "findings")
+    ignore_files = decode_text(with_content(listing.filter((path == ".gitignore") | path.endswith("/.gitignore"))))
+    rules = load_gitignore_rules(ignore_files.withColumn("repo", F.lit(root)))
+    return apply_gitignore(findings, rules).drop("repo")

@@ -17,6 +17,7 @@ from siftworks.functions.paths import (
     skip_git_dir,
 )
 from siftworks.functions.text import decode_utf8, split_lines, trim_both
+from siftworks.sources.trees import walk_tree, with_content
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -29,6 +30,7 @@ def binary_files(spark: SparkSession, root: str, *, recursive: bool = True, name
     """Blobs ``(root, path, content, length, modificationTime)`` below ``root``, paths relative to it.
 
     Columns that are not used later are not read: an inventory never opens a file.
+    Spark's reader leaves out hidden files; ``read_tree`` finds them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if name_glob:
@@ -39,16 +41,20 @@ def binary_files(spark: SparkSession, root: str, *, recursive: bool = True, name
     )
 
 
-def read_tree(
+def list_tree(
     spark: SparkSession,
     root: str,
     *,
     ignore: Iterable[str] = AUTO_IGNORES,
     scan_ignore: Iterable[str] = (),
 ) -> DataFrame:
-    """The files of a tree that a scan looks at. All tests are on the path, before any content is read."""
-    files = binary_files(spark, root)
-    return files.filter(tree_filter(F.col("path"), ignore, scan_ignore))
+    """The files a tree scan looks at, hidden ones included; ignored directories are not entered."""
+    return walk_tree(spark, root, tree_filter(F.col("path"), ignore, scan_ignore))
+
+
+def read_tree(spark: SparkSession, root: str, **ignores: Iterable[str]) -> DataFrame:
+    """``list_tree`` with the contents of the files."""
+    return with_content(list_tree(spark, root, **ignores))
 
 
 def tree_filter(path: Column, ignore: Iterable[str] = AUTO_IGNORES, scan_ignore: Iterable[str] = ()) -> Column:
@@ -93,7 +99,7 @@ def paths_anti_ignores(files: DataFrame, rules: DataFrame, mode: str = "tree") -
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """Size and modification time per path."""
+    """Size and modification time per path, of a listing or of blobs; contents are not read."""
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 

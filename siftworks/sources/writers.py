@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftworks.operators.events import dest_collisions
 from siftworks.operators.findings import FINDING_COLUMNS, findings_report, partition_covered
+from siftworks.sources.trees import open_filesystem
 
 RESULT_SCHEMA = "source string, destination string, effect string, done boolean, error string"
 
@@ -26,20 +27,12 @@ def findings_text_sink(findings: DataFrame, path: str, mode: str = "overwrite")
     findings.select(findings_report().alias("value")).write.mode(mode).text(path)
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-    return fs.LocalFileSystem(), path
-
-
 def _copy(source: str, destination: str) -> bool:
     """Copy one file under a temporary name, then rename: a repeated or lost task leaves no partial file."""
     from pyarrow import fs
 
-    source_fs, source_path = _filesystem(source)
-    dest_fs, dest_path = _filesystem(destination)
+    source_fs, source_path = open_filesystem(source)
+    dest_fs, dest_path = open_filesystem(destination)
     if source_fs.get_file_info(source_path).type != fs.FileType.File:
         return False
     dest_fs.create_dir(dest_path.rsplit("/", 1)[0], recursive=True)
@@ -59,7 +52,7 @@ def _copy(source: str, destination: str) -> bool:
 def _delete(source: str) -> bool:
     from pyarrow import fs
 
-    source_fs, path = _filesystem(source)
+    source_fs, path = open_filesystem(source)
     kind = source_fs.get_file_info(path).type
     if kind == fs.FileType.File:
         source_fs.delete_file(path)
@@ -71,8 +64,8 @@ def _delete(source: str) -> bool:
 def _move(source: str, destination: str) -> bool:
     from pyarrow import fs
 
-    source_fs, path = _filesystem(source)
-    dest_fs, dest_path = _filesystem(destination)
+    source_fs, path = open_filesystem(source)
+    dest_fs, dest_path = open_filesystem(destination)
     if source_fs.get_file_info(path).type == fs.FileType.NotFound:
         return False
     dest_fs.create_dir(dest_path.rsplit("/", 1)[0], recursive=True)
