@@ -35,28 +35,43 @@ def offset_text(offset: Column) -> Column:
     return F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)
 
 
-def hex_dump(blobs: DataFrame, *, content: str = "content", base: Column | int = 0) -> DataFrame:
-    """Rows of 16 bytes: ``row_offset``, ``offset`` text, ``hex`` cells and the ``ascii`` gutter.
+def hex_rows(blobs: DataFrame, *, content: str = "content", base: Column | int = 0) -> DataFrame:
+    """Pieces of 16 bytes: the other columns, ``row_offset`` and ``row_bytes``.
 
     Rows are numbered from the start of the content plus ``base``, so a byte range
-    can be dumped with the offsets it has in its file.
+    keeps the offsets it has in its file.
     """
     keep = [c for c in blobs.columns if c != content]
     base = F.lit(base).cast("long") if isinstance(base, int) else base
     chunks = blob_chunks(blobs.withColumn("_from", base), content=content)
     steps = F.sequence(F.lit(0), F.octet_length("piece") - 1, F.lit(ROW_BYTES))
-    rows = chunks.select(*keep, "_from", "base", "piece", F.explode(steps).alias("_step")).select(
+    return chunks.select(*keep, "_from", "base", "piece", F.explode(steps).alias("_step")).select(
         *keep,
         (F.col("_from") + F.col("base") + F.col("_step")).alias("row_offset"),
-        F.substring("piece", F.col("_step") + 1, F.lit(ROW_BYTES)).alias("_bytes"),
+        F.substring("piece", F.col("_step") + 1, F.lit(ROW_BYTES)).alias("row_bytes"),
     )
-    gutter = F.regexp_replace(F.decode("_bytes", LATIN1), r"[^\x20-\x7E]", ".")
+
+
+def row_cells(row_bytes: Column) -> Column:
+    """The bytes of a row as upper-case two-digit cells."""
+    return F.regexp_extract_all(F.hex(row_bytes), F.lit("(..)"), F.lit(1))
+
+
+def row_gutter(row_bytes: Column) -> Column:
+    """The bytes of a row as text, with a dot for whatever does not print."""
+    return F.regexp_replace(F.decode(row_bytes, LATIN1), r"[^\x20-\x7E]", ".")
+
+
+def hex_dump(blobs: DataFrame, *, content: str = "content", base: Column | int = 0) -> DataFrame:
+    """Rows of 16 bytes: ``row_offset``, ``offset`` text, ``hex`` cells and the ``ascii`` gutter."""
+    keep = [c for c in blobs.columns if c != content]
+    rows, row_bytes = hex_rows(blobs, content=content, base=base), F.col("row_bytes")
     return rows.select(
         *keep,
         "row_offset",
         offset_text(F.col("row_offset")).alias("offset"),
-        F.regexp_extract_all(F.hex("_bytes"), F.lit("(..)"), F.lit(1)).alias("hex"),
-        gutter.alias("ascii"),
+        row_cells(row_bytes).alias("hex"),
+        row_gutter(row_bytes).alias("ascii"),
     )
 
 

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from siftworks.functions.text import split_lines
 
+# Where ignore rules are kept.
+IGNORE_FILE = ".gitignore"
+EXCLUDE_FILE = ".git/info/exclude"
+
 # A pattern is cut into these tokens, tried in this order.
 _TOKENS = (
     r"(\\.|\[[!^]?\]?(?:\\.|[^\]\\])*\]|^\*\*/|/\*\*/|/\*\*$|\*+|\?|[^\\\[*?/]+|.)"
@@ -64,13 +68,16 @@ def parse_rule(line: Column) -> Column:
     )
 
 
-def load_gitignore_rules(files: DataFrame, name: str = ".gitignore") -> DataFrame:
-    """Ignore files among ``files(repo, path, text)`` as ``(repo, level_dir, rules)``."""
+def is_ignore_file(path: Column) -> Column:
+    return (path == IGNORE_FILE) | F.endswith(path, F.lit("/" + IGNORE_FILE)) | (path == EXCLUDE_FILE)
+
+
+def load_gitignore_rules(files: DataFrame) -> DataFrame:
+    """Ignore files among ``files(repo, path, text)`` as ``(repo, level_dir, rules)``; the exclude file counts at the root."""
     path = F.col("path")
-    found = files.filter((path == name) | F.endswith(path, F.lit("/" + name)))
-    level = F.regexp_replace(path, r"/?[^/]*\z", "")
+    level = F.when(path == EXCLUDE_FILE, F.lit("")).otherwise(F.regexp_replace(path, r"/?[^/]*\z", ""))
     rules = F.array_compact(F.transform(F.coalesce(split_lines(F.col("text")), F.array()), parse_rule))
-    return found.select("repo", level.alias("level_dir"), rules.alias("rules"))
+    return files.filter(is_ignore_file(path)).select("repo", level.alias("level_dir"), rules.alias("rules"))
 
 
 def gitignore_rule_rows(rules: DataFrame) -> DataFrame:

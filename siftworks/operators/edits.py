@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions import bytes as B
-from siftworks.operators.blobs import hex_dump
+from siftworks.operators.blobs import hex_rows, offset_text, row_cells, row_gutter
 
 # Offsets are grouped in stretches of this many bytes while runs are found.
 STRETCH = 1 << 16
@@ -99,7 +99,7 @@ def edits_preview(blobs: DataFrame, edits: DataFrame) -> DataFrame:
 
     ``hex`` shows the edited cells and ``dirty`` their positions in the row; the
     gutter shows the stored bytes.  Edits are grouped per 16-byte row before the
-    join, so rows join one to one on (path, row).
+    join, so rows join one to one on (path, row) and only raw bytes are shuffled.
     """
     row = F.col("offset") - F.pmod("offset", F.lit(B.ROW_BYTES))
     per_row = (
@@ -108,15 +108,16 @@ def edits_preview(blobs: DataFrame, edits: DataFrame) -> DataFrame:
         .groupBy("path", "row_offset")
         .agg(F.map_from_entries(F.collect_list(F.struct("cell", "digits"))).alias("_cells"))
     )
-    rows = hex_dump(blobs.select("path", "content")).join(per_row, ["path", "row_offset"], "left")
-    cells = F.transform("hex", lambda cell, i: F.coalesce(F.try_element_at("_cells", i), cell))
-    inside = F.filter(F.map_keys("_cells"), lambda i: i < F.size("hex"))
+    rows = hex_rows(blobs.select("path", "content")).join(per_row, ["path", "row_offset"], "left")
+    stored, row_bytes = row_cells(F.col("row_bytes")), F.col("row_bytes")
+    edited = F.transform(stored, lambda cell, i: F.coalesce(F.try_element_at("_cells", i), cell))
+    inside = F.filter(F.map_keys("_cells"), lambda i: i < F.octet_length(row_bytes))
     return rows.select(
         "path",
         "row_offset",
-        "offset",
-        cells.alias("hex"),
-        "ascii",
+        offset_text(F.col("row_offset")).alias("offset"),
+        F.when(F.col("_cells").isNull(), stored).otherwise(edited).alias("hex"),
+        row_gutter(row_bytes).alias("ascii"),
         F.coalesce(F.array_sort(inside), F.array().cast("array<int>")).alias("dirty"),
     )
 

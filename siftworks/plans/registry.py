@@ -812,7 +812,7 @@ def stream_dedup(spark, sf_dir):
     """Each token once per file over a log arriving as a stream."""
     docs = _stream(spark, sf_dir, "documents")
     texts = docs.select(
-        F.timestamp_seconds("doc_id").alias("ts"), F.expr(derive.COMMIT_FILE).alias("file"), F.expr(derive.PLANTED_TEXT).alias("text")
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("ts"), F.expr(derive.COMMIT_FILE).alias("file"), F.expr(derive.PLANTED_TEXT).alias("text")
     )
     found = streams.scan_stream(texts, default_rules())
     unique = streams.stream_dedup(found, delay="30 days").select("rule_name", "file", "matched_text")

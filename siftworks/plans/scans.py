@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from siftworks.functions.paths import AUTO_IGNORES, is_binary_ext, is_env_file, path_ignored, path_scan_ignored
 from siftworks.functions.rules import Rule, default_rules
-from siftworks.operators.coverage import apply_gitignore, load_gitignore_rules
+from siftworks.operators.coverage import EXCLUDE_FILE, apply_gitignore, is_ignore_file, load_gitignore_rules
 from siftworks.operators.delta import delta_lines
 from siftworks.operators.findings import as_findings, dedup_findings, file_location
 from siftworks.operators.history import scan_history
 from siftworks.operators.match import match_rules, scan_text
 from siftworks.session import staged
 from siftworks.sources.readers import decode_text, list_tree, tree_filter
-from siftworks.sources.trees import with_content
+from siftworks.sources.trees import path_exists, with_content
 
 
 @dataclass(frozen=True)
@@ -94,11 +94,14 @@ def union_sources(findings: DataFrame, *others: DataFrame | None) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
-    """Scan the files below a folder; the folder is the repository whose ignore files count."""
+    """Scan the files below a folder; if it is a repository, its ignore files decide what is covered."""
     listing = list_tree(spark, root, ignore=options.all_ignores, scan_ignore=options.scan_ignore)
     path = F.col("path")
     texts = decode_text(with_content(listing.filter(~is_binary_ext(path)))).withColumn("repo", F.lit(root))
-    findings = staged(scan_files(texts, options, "repo"), "findings")
-    ignore_files = decode_text(with_content(listing.filter((path == ".gitignore") | path.endswith("/.gitignore"))))
-    rules = load_gitignore_rules(ignore_files.withColumn("repo", F.lit(root)))
-    return apply_gitignore(findings, rules).drop("repo")
+    findings = scan_files(texts, options, "repo")
+    if not path_exists(f"{root.rstrip('/')}/.git"):
+        return findings.drop("repo")
+    exclude = spark.range(1).select(F.lit(root).alias("root"), F.lit(EXCLUDE_FILE).alias("path"), F.lit(0).alias("length"))
+    ignore_files = listing.filter(is_ignore_file(path)).select("root", "path", "length").unionByName(exclude)
+    rules = load_gitignore_rules(decode_text(with_content(ignore_files)).withColumn("repo", F.lit(root)))
+    return apply_gitignore(staged(findings, "findings"), rules).drop("repo")

@@ -36,6 +36,13 @@ def open_filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
+def path_exists(path: str) -> bool:
+    from pyarrow import fs
+
+    filesystem, at = open_filesystem(path)
+    return filesystem.get_file_info(at).type != fs.FileType.NotFound
+
+
 def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, recursive: bool = True) -> DataFrame:
     """Files below ``root`` as ``(root, path, length, modificationTime)``, paths relative to it.
 

@@ -74,6 +74,21 @@ def test_scan_directory(spark, tree):
     assert not {p for p in by_path if p.startswith(("vendor", "skip", "node_modules", ".git/")) or p in ("app.exe", "Cargo.lock", "bad.txt")}
 
 
+def test_coverage_needs_a_repository(spark, tmp_path):
+    (tmp_path / ".env").write_text(ADDRESS)
+    (tmp_path / ".gitignore").write_text(".env\n")
+    (tmp_path / "x.py").write_text(ADDRESS)
+
+    def covered():
+        found = scans.scan_directory(spark, str(tmp_path), scans.ScanOptions()).collect()
+        return {(r.location.path, r.git_ignored) for r in found}
+
+    assert covered() == {(".env", False), ("x.py", False)}
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("x.*\n")
+    assert covered() == {(".env", True), ("x.py", True)}
+
+
 def test_ignore_file(spark, tmp_path):
     (tmp_path / "ignore").write_text("# comment\n\n  vendor/ \n\tx.txt\n#y\n")
     assert readers.load_ignore_rules(spark, str(tmp_path / "ignore")) == ["vendor/", "x.txt"]
