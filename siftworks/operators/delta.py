@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.text import split_lines
@@ -35,20 +35,47 @@ def delta_lines(base: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("pa
 
 
 def _changed(base: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both versions of the files that differ; digests are compared, so unchanged texts are not shuffled."""
-    had = base.select(*keys, F.sha2("text", 256).alias("_had"))
-    has = new.select(*keys, F.sha2("text", 256).alias("_has"))
-    differing = has.join(had, keys, "left").filter(~F.col("_has").eqNullSafe(F.col("_had"))).select(*keys)
-    return base.join(differing, keys, "left_semi"), new.join(differing, keys, "left_semi")
+    """Both versions of the files that differ, with ``_long`` set if one of them has more lines than a stretch.
+
+    Digests are compared, so unchanged texts are not shuffled.
+    """
+    facts = [F.sha2("text", 256).alias("_digest"), (F.size(F.split("text", "\n")) > STRETCH).alias("_long")]
+    had, has = base.select(*keys, *facts).alias("had"), new.select(*keys, *facts).alias("has")
+    differing = (
+        has.join(had, keys, "left")
+        .filter(~F.col("has._digest").eqNullSafe(F.col("had._digest")))
+        .select(*keys, (F.col("has._long") | F.coalesce("had._long", F.lit(False))).alias("_long"))
+    )
+    return base.join(differing, keys), new.join(differing, keys)
 
 
 def _multiset(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
+
+    def lines(files: DataFrame, long: bool) -> DataFrame:
+        return explode_lines(files.filter(F.col("_long") == long).drop("_long"))
+
     groups = [*keys, "line"]
-    had = explode_lines(base).groupBy(*groups).agg(F.count("*").alias("_had"))
+    return _few_lines(lines(base, False), lines(new, False), groups).unionByName(
+        _many_lines(lines(base, True), lines(new, True), groups)
+    )
+
+
+def _few_lines(base: DataFrame, new: DataFrame, groups: list[str]) -> DataFrame:
+    """One shuffle: equal lines of a file meet, base lines first. A group has at most two stretches of rows."""
+    both = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    ordered = Window.partitionBy(*groups).orderBy("_new", "line_no")
+    had = F.sum(1 - F.col("_new")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("_nth", F.row_number().over(ordered)).withColumn("_had", had)
+    return numbered.filter((F.col("_new") == 1) & (F.col("_nth") > 2 * F.col("_had"))).drop("_new", "_nth", "_had")
+
+
+def _many_lines(base: DataFrame, new: DataFrame, groups: list[str]) -> DataFrame:
+    """Long files may repeat a line without limit, so occurrences are ranked stretch by stretch."""
+    had = base.groupBy(*groups).agg(F.count("*").alias("_had"))
     stretch = F.floor((F.col("line_no") - 1) / STRETCH)
-    nth = ranked(explode_lines(new), groups, stretch, ["line_no"], name="_nth", attach=had)
-    return nth.filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).select(*keys, "line_no", "line")
+    nth = ranked(new, groups, stretch, ["line_no"], name="_nth", attach=had)
+    return nth.filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).drop("_nth", "_had")
 
 
 def _added_line_numbers(old: list[str], now: list[str]) -> list[int]:
@@ -77,7 +104,7 @@ def _aligned(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
             )
 
     base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
-    pairs = new.join(base.withColumnRenamed("text", "_old"), keys, "left")
+    pairs = new.join(base.select(*keys, F.col("text").alias("_old")), keys, "left")
     parts = pairs.select(*keys, split_lines(F.col("text")).alias("_now"), split_lines(F.col("_old")).alias("_was"))
     numbered = parts.filter(F.col("_now").isNotNull()).withColumn("_added", added("_was", "_now"))
     # the outer form keeps Spark from adding a filter that would evaluate the function a second time
