@@ -55,16 +55,25 @@ def monitor(
     out: str,
     checkpoint: str,
     dry_run: bool = True,
+    debounced: bool = False,
+    delay: str = "10 seconds",
     available_now: bool = False,
 ) -> StreamingQuery:
     """Watch a stream of ``(ts, path, kind, kind_detail, seq)`` and act on what passes the filter.
 
+    With ``debounced`` only the last event of a burst on a path is acted on, where
+    ``options.debounce_ms`` is the pause that ends a burst and ``delay`` how late
+    events may arrive.
+
     Each micro-batch writes its report to its own folder ``out/batch=<id>``, so a
     batch that is run again after a failure replaces its report.  A failing action
     is a row with an error (see ``failed_actions``) and does not stop the stream.
     """
     options.check()
     selected = select_events(events, options)
+    if debounced:
+        bursts = debounce_stream(selected, f"{options.debounce_ms} milliseconds", delay=delay)
+        selected = bursts.select(F.col("last_ts").alias("ts"), "path", "kind", "kind_detail", F.col("last_order").alias("seq"))
 
     def act(batch: DataFrame, batch_id: int) -> None:
         ordered = batch.withColumn("ts_micros", F.unix_micros(F.col("ts").cast("timestamp")))

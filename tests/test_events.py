@@ -234,6 +234,22 @@ def test_monitor_acts_on_arriving_events(spark, frame, tmp_path):
     assert streams.failed_actions(rows).count() == 0
 
 
+def test_monitor_debounces(spark, frame, tmp_path):
+    """A burst is one step; the last burst waits until the watermark has passed it."""
+    second = 1_000_000
+    times = [(0, "a"), (100_000, "a"), (200_000, "b"), (5 * second, "a"), (60 * second, "c")]
+    log = frame([(i, t + 1000 * second, f"in/{p}", "modify", "data") for i, (t, p) in enumerate(times)], SCHEMA)
+    log.select("seq", F.timestamp_micros("ts_micros").alias("ts"), "path", "kind", "kind_detail").write.parquet(str(tmp_path / "log"))
+    source = streams.event_source(spark, str(tmp_path / "log"), spark.read.parquet(str(tmp_path / "log")).schema)
+    options = E.MonitorOptions(("in",), "copy", "/out", on_modify=True)
+    report = str(tmp_path / "report")
+    streams.monitor(
+        source, options, out=report, checkpoint=str(tmp_path / "check"), debounced=True, delay="1 second", available_now=True
+    ).awaitTermination()
+    rows = spark.read.parquet(report).collect()
+    assert sorted((r.source, r.destination) for r in rows) == [("in/a", "/out/a"), ("in/b", "/out/b")]
+
+
 def test_arrivals(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a").write_text("a")
