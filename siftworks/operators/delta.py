@@ -105,8 +105,10 @@ def _aligned(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
     base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
     pairs = new.join(base.select(*keys, F.col("text").alias("_old")), keys, "left")
-    parts = pairs.select(*keys, split_lines(F.col("text")).alias("_now"), split_lines(F.col("_old")).alias("_was"))
-    numbered = parts.filter(F.col("_now").isNotNull()).withColumn("_added", added("_was", "_now"))
+    parts = pairs.filter("text <> ''").select(
+        *keys, split_lines(F.col("text")).alias("_now"), split_lines(F.col("_old")).alias("_was")
+    )
+    numbered = parts.withColumn("_added", added("_was", "_now"))
     # the outer form keeps Spark from adding a filter that would evaluate the function a second time
     exploded = numbered.select(*keys, "_now", F.explode_outer("_added").alias("line_no"))
     return exploded.filter("line_no IS NOT NULL").select(*keys, "line_no", F.element_at("_now", F.col("line_no")).alias("line"))

@@ -138,17 +138,27 @@ def edit_results(blobs: DataFrame, edits: DataFrame) -> DataFrame:
     ``edits(path, seq, mode, offset, end_offset, data, append_zero, reverse, dialect)``
     with ``mode`` overwrite or insert and offsets as typed, ``eof`` included.
     """
-    joined = edits.join(blobs.select("path", "content"), "path")
+    first = B.parse_int_auto(F.col("offset"))
+    # parsed in a projection of their own, since every form below uses them several times
+    parsed = edits.select(
+        "path", "seq", "data", "append_zero", "reverse", "dialect",
+        (F.col("mode") == "overwrite").alias("_overwrite"),
+        (F.col("offset") == "eof").alias("_at_end"),
+        F.col("end_offset").isNotNull().alias("_ranged"),
+        first.alias("_first"),
+        B.parse_int_auto(F.col("end_offset")).alias("_second"),
+        F.coalesce(first, F.lit(0).cast("long")).alias("_start"),
+    )
+    joined = parsed.join(blobs.select("path", "content"), "path")
     content, data = F.col("content"), F.col("data")
     turned, grow = F.col("reverse"), F.col("append_zero")
-    first, second = B.parse_int_auto(F.col("offset")), B.parse_int_auto(F.col("end_offset"))
-    ranged = F.col("end_offset").isNotNull()
-    start = F.coalesce(first, F.lit(0).cast("long"))
-    overwrite = F.col("mode") == "overwrite"
+    first, second, start = F.col("_first"), F.col("_second"), F.col("_start")
+    ranged, at_end = F.col("_ranged"), F.col("_at_end")
+    overwrite = F.col("_overwrite")
     cli = (
         F.when(overwrite & ranged, B.overwrite_range(content, first, second, data, append_zero=grow, reverse=turned))
         .when(ranged, B.insert_range(content, first, second, data, reverse=turned))
-        .when(F.col("offset") == "eof", B.append_eof(content, data, turned))
+        .when(at_end, B.append_eof(content, data, turned))
         .when(overwrite, B.overwrite_at(content, start, data, append_zero=grow, reverse=turned))
         .otherwise(B.insert_at(content, start, data, reverse=turned))
     )
