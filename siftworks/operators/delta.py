@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftworks.functions.text import split_lines
 from siftworks.operators.match import explode_lines
 from siftworks.operators.ranking import ranked
+from siftworks.session import staged
 
 # Lines of a file are ranked in stretches of this many line numbers.
 STRETCH = 4096
@@ -37,15 +38,19 @@ def delta_lines(base: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("pa
 def _changed(base: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both versions of the files that differ, with ``_long`` set if one of them has more lines than a stretch.
 
-    Digests are compared, so unchanged texts are not shuffled.
+    Digests are compared, so unchanged texts are not shuffled.  The short list of
+    files that differ is stored, since several joins use it.
     """
-    facts = [F.sha2("text", 256).alias("_digest"), (F.size(F.split("text", "\n")) > STRETCH).alias("_long")]
+    # a text of fewer bytes cannot have that many lines, which saves counting them
+    long = (F.octet_length("text") >= STRETCH) & (F.size(F.split("text", "\n")) > STRETCH)
+    facts = [F.sha2("text", 256).alias("_digest"), long.alias("_long")]
     had, has = base.select(*keys, *facts).alias("had"), new.select(*keys, *facts).alias("has")
     differing = (
         has.join(had, keys, "left")
         .filter(~F.col("has._digest").eqNullSafe(F.col("had._digest")))
         .select(*keys, (F.col("has._long") | F.coalesce("had._long", F.lit(False))).alias("_long"))
     )
+    differing = staged(differing, "changed")
     return base.join(differing, keys), new.join(differing, keys)
 
 

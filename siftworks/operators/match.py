@@ -32,7 +32,7 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _worth_trying(rules: Sequence[Rule], line: Column) -> Column:
+def worth_trying(rules: Sequence[Rule], line: Column) -> Column:
     """Cheap necessary condition for any of the rules to match on the line."""
     literals: dict[str, None] = {}
     regexes: dict[str, None] = {}
@@ -127,9 +127,9 @@ def match_rules(
     """
     keep = [c for c in lines.columns if c != line]
     text = F.col(line)
-    worth = _worth_trying([r for r in rules if not r.env_only], text)
+    worth = worth_trying([r for r in rules if not r.env_only], text)
     if env is not None:
-        worth = worth | (env & _worth_trying([r for r in rules if r.env_only], text))
+        worth = worth | (env & worth_trying([r for r in rules if r.env_only], text))
     gates = sorted({r.gate for r in rules if r.gate})
     candidates = lines.filter(worth).select(
         *keep,

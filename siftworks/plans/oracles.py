@@ -23,7 +23,7 @@ def _text(value: str) -> str:
 
 def _lines(source: str, keys: str) -> str:
     return f"""
-    SELECT {keys}, i AS line_no,
+    SELECT {keys}, CAST(i AS INTEGER) AS line_no,
            CASE WHEN i < n AND right(piece, 1) = chr(13) THEN left(piece, length(piece) - 1) ELSE piece END AS line
     FROM (SELECT {keys}, unnest(parts) AS piece, unnest(range(1, len(parts) + 1)) AS i, len(parts) AS n
           FROM (SELECT {keys}, string_split(text, chr(10)) AS parts FROM ({source})))
