@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftworks.llm import quality, toxicity
 from siftworks.llm.near_dedup import near_duplicates
+from siftworks.llm.secret_ledger import scan_versions, spans_text
+from siftworks.llm.sharding import shard_documents
+from siftworks.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +20,76 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(_table(spark, sf_dir, "documents"), work_dir(spark, "ledger"))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(spans_text("secrets"), 256).alias("base_sha256"),
+        spans_text("secrets").alias("spans"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op3_toxicity,
+        op6_quality_classifier,
+        op8_secret_scans,
         op9_minhash_near_dedup,
+        op10_sharding,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_ASSIGN = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+    r"|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+    SELECT blob, {rank} AS rank, '{kind}' AS kind, finish - length(hit) AS start, finish FROM (
+        SELECT blob, hit, val, sum(length(piece) + length(hit)) OVER (PARTITION BY blob ORDER BY nth) AS finish FROM (
+            SELECT blob, unnest(hits) AS hit, unnest(vals) AS val, unnest(pieces[1:len(hits)]) AS piece,
+                unnest(range(len(hits))) AS nth
+            FROM (SELECT blob, regexp_extract_all(text, '{pattern}', 0) AS hits,
+                regexp_extract_all(text, '{pattern}', {group}) AS vals,
+                regexp_split_to_array(text, '{pattern}') AS pieces FROM blobs)))
+    WHERE length(val) >= {least}"""
+
+
+ORACLES: dict[str, str] = {
+    "op8_secret_scans": f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob FROM documents),
+blobs AS (SELECT blob, any_value(text) AS text FROM docs GROUP BY blob),
+found AS ({_kind_sql(1, "assign", _ASSIGN, 2, 8)} UNION ALL {_kind_sql(2, "access", "AKIA[A-Z0-9]+", 0, 16)}
+    UNION ALL {_kind_sql(3, "hex", "[0-9a-f]+", 0, 32)}),
+per_blob AS (
+    SELECT blob, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access,
+        count(*) FILTER (rank = 3) AS n_hex,
+        string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) AS spans
+    FROM found GROUP BY blob)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_blob USING (blob)""",
+}
