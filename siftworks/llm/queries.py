@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.llm import quality, toxicity
+from siftworks.llm.decontamination import contained_items
 from siftworks.llm.near_dedup import near_duplicates
 from siftworks.llm.secret_ledger import scan_versions, spans_text
+from siftworks.llm.sentencepiece_bpe import encode_texts, read_model
 from siftworks.llm.sharding import shard_documents
 from siftworks.session import work_dir
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,6 +29,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_table(spark, sf_dir, "documents"), read_model(PIECES))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -53,6 +65,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op3_toxicity,
+        op4_benchmark_decontamination,
+        op5_sentencepiece,
         op6_quality_classifier,
         op8_secret_scans,
         op9_minhash_near_dedup,
@@ -78,7 +92,24 @@ def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str
     WHERE length(val) >= {least}"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """Distinct runs of five words of every text, or all words of a shorter one."""
+    return f"""
+    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5
+        THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS shingle
+    FROM (SELECT {key}, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": f"""
+WITH items AS ({_shingles_sql("benchmark", "item_id")}), docs AS ({_shingles_sql("documents", "doc_id")}),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
+found AS (SELECT doc_id, item_id, count(*) AS n_found FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found FROM found JOIN sizes USING (item_id) WHERE 100 * n_found >= 75 * n_shingles""",
     "op8_secret_scans": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob FROM documents),
 blobs AS (SELECT blob, any_value(text) AS text FROM docs GROUP BY blob),
