@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftworks.llm import quality, toxicity
 from siftworks.llm.decontamination import contained_items
+from siftworks.llm.html_text import extract_text
 from siftworks.llm.near_dedup import near_duplicates
 from siftworks.llm.secret_ledger import scan_versions, spans_text
 from siftworks.llm.sentencepiece_bpe import encode_texts, read_model
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -64,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op2_html_extraction,
         op3_toxicity,
         op4_benchmark_decontamination,
         op5_sentencepiece,
