@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from siftworks.llm import quality, toxicity
 from siftworks.llm.decontamination import contained_items
 from siftworks.llm.html_text import extract_text
+from siftworks.llm.license_scan import scan_licenses, template_table
 from siftworks.llm.near_dedup import near_duplicates
+from siftworks.llm.nearest import nearest
 from siftworks.llm.secret_ledger import scan_versions, spans_text
 from siftworks.llm.sentencepiece_bpe import encode_texts, read_model
 from siftworks.llm.sharding import shard_documents
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"), template_table(spark))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -47,6 +53,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_versions(_table(spark, sf_dir, "documents"), work_dir(spark, "ledger"))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
@@ -69,11 +79,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scans,
         op2_html_extraction,
         op3_toxicity,
         op4_benchmark_decontamination,
         op5_sentencepiece,
         op6_quality_classifier,
+        op7_nearest_neighbours,
         op8_secret_scans,
         op9_minhash_near_dedup,
         op10_sharding,
