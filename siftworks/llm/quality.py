@@ -123,28 +123,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
-    """``keep`` columns with ``held_out``, ``score`` (0 to 1) and ``predicted`` for each whole text.
+def _scores(column: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
+    buckets, borders = features(column, bits)
+    sizes = np.diff(borders)
+    total = np.add.reduceat(weights[buckets], borders[:-1]) if len(sizes) else np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(total * SCALE / np.maximum(sizes, 1), -30, 30)))
 
-    A null text is the empty text, which is scored by the constant feature. Nulls
-    and repeats in other columns, and other columns, make no difference. ``held_out``
-    is false without an id. An empty table gives an empty table.
+
+def score(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for each row's whole text, ``score`` from 0 to 1.
+
+    A null text is the empty text, which is scored by the constant feature. Repeated rows
+    get one score; a null id is not held out. Other columns are ignored; an empty table gives an
+    empty table.
     """
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # 2 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for whole in batches:
-            for batch in slices(whole, "text_"):
-                buckets, borders = features(batch.column("text_"), bits)
-                sizes = np.diff(borders)
-                total = np.add.reduceat(w[buckets], borders[:-1]) if len(sizes) else np.zeros(0)
-                p = 1 / (1 + np.exp(-np.clip(total * SCALE / np.maximum(sizes, 1), -30, 30)))
-                yield batch.drop_columns(["text_"]).append_column("score", pa.array(p, pa.float64()))
-
-    picked = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    scored = picked.mapInArrow(run, f"{columns}, score double")
-    held = F.coalesce(~learning_rows(), F.lit(False)) if "doc_id" in keep else F.lit(False)
-    return scored.select(*keep, held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+            for batch in slices(whole, "text"):
+                p = _scores(batch.column("text"), shared.value, bits)
+                yield batch.drop_columns(["text"]).append_column("score", pa.array(p, pa.float64()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = F.coalesce(~learning_rows(), F.lit(False))
+    return rows.mapInArrow(run, "doc_id long, score double").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, with all their columns as they are."""
+    bits = int(np.log2(len(weights)))
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array(_scores(batch.column("text"), shared.value, bits) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -170,3 +170,30 @@ def redact(text: Column, secrets: Column, mask: str = "[SECRET]") -> Column:
 
     rest = lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(secrets, start, step, rest))
+
+
+def redact_secrets(
+    docs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] = RULES, rule_version: str = RULE_VERSION, mask: str = "[SECRET]"
+) -> DataFrame:
+    """The rows of ``docs`` with the secrets of ``text`` masked; ``n_chars``, if there, is counted again in changed texts.
+
+    Only texts that a rule may match meet the findings; all others pass as they are. Other columns stay, whatever their names.
+    """
+    gate = F.coalesce(F.expr(" OR ".join(f"({r.gate})" for r in rules)), F.lit(False))
+    suspect = docs.where(gate).select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2("text", 256)).alias("blob"))
+    versions = staged(suspect.select("blob", F.col("row.text").alias("text")), "suspects")
+    rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
+    found = (
+        update_ledger(versions, ledger, rules, rule_version)
+        .groupBy("blob")
+        .agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("secrets"))
+    )
+    none = F.array().cast(found.schema["secrets"].dataType)
+    text = redact(F.col("row.text"), F.coalesce("secrets", none), mask)
+    changed = suspect.join(found, "blob", "left").withColumn("new", text)
+    as_new = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        as_new["n_chars"] = F.when(F.col("secrets").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast(kind))
+    columns = [as_new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return docs.where(~gate).unionByName(changed.select(*columns))
