@@ -83,12 +83,12 @@ def _hit(rule: Rule, number: int, redact: bool) -> str:
         tests.append(f"NOT (_line RLIKE {_literal(rule.java_allowlist)})")
     content = "_line"
     if redact:
-        content = f"regexp_replace(_line, {_literal(first_match_prefix(rule.java))}, {_literal('$1' + REDACTED)})"
+        content = f"regexp_replace(_line, {_literal(first_match_prefix(rule.lead, rule.core))}, {_literal('$1' + REDACTED)})"
     return (
         f"CASE WHEN {' AND '.join(tests)} THEN named_struct("
         f"'rule_no', {number}, 'rule_name', {_literal(rule.name)}, 'severity', {_literal(rule.severity)}, "
         f"'severity_rank', {rank_of(rule.severity)}Y, "
-        f"'_token', regexp_extract(_line, {_literal(rule.java)}, 0), '_content', {content}) END"
+        f"'_token', regexp_extract(_line, {_literal(f'{rule.lead}({rule.core})')}, 1), '_content', {content}) END"
     )
 
 
