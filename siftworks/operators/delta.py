@@ -2,118 +2,44 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions.text import split_lines
-from siftworks.operators.match import explode_lines
-from siftworks.operators.ranking import ranked
-from siftworks.session import staged
 
-# Lines of a file are ranked in stretches of this many line numbers.
-STRETCH = 4096
+
+def _line_hashes(text: Column) -> Column:
+    return F.transform(split_lines(text), lambda line: F.xxhash64(line))
 
 
-def delta_lines(base: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("path",), mode: str = "multiset") -> DataFrame:
+def delta_lines(base: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Lines of ``new`` that ``base`` does not have, with their line number in ``new``.
 
     Both inputs have ``keys`` and a ``text`` column, one row per file; a file
-    without a base version is new as a whole.
-
-    ``multiset`` compares counts: of a line that occurs more often than in the
-    base, the last occurrences are new; a line that merely moved is not.  ``lcs``
-    aligns the two versions in order, so a moved line is new at its new place.
-    """
-    if mode == "multiset":
-        return _multiset(base, new, list(keys))
-    if mode == "lcs":
-        return _aligned(base, new, list(keys))
-    raise ValueError(f"mode must be multiset or lcs, not {mode!r}")
-
-
-def _changed(base: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both versions of the files that differ, with ``_long`` set if one of them has more lines than a stretch.
+    without a base version is new as a whole.  Counts are compared: of a line that
+    occurs more often than in the base, the last occurrences are new; a line that
+    merely moved is not.
 
-    Digests are compared, so unchanged texts are not shuffled.  The short list of
-    files that differ is stored, since several joins use it.
+    Each version is read once as 64-bit line hashes, which meet by ``keys``; that
+    partitioning serves the comparison of lines as well.  Files whose hashes are equal
+    go no further.  ``new`` is read a second time for the text of files with new lines.
     """
-    # a text of fewer bytes cannot have that many lines, which saves counting them
-    long = (F.octet_length("text") >= STRETCH) & (F.size(F.split("text", "\n")) > STRETCH)
-    facts = [F.sha2("text", 256).alias("_digest"), long.alias("_long")]
-    had, has = base.select(*keys, *facts).alias("had"), new.select(*keys, *facts).alias("has")
-    differing = (
-        has.join(had, keys, "left")
-        .filter(~F.col("has._digest").eqNullSafe(F.col("had._digest")))
-        .select(*keys, (F.col("has._long") | F.coalesce("had._long", F.lit(False))).alias("_long"))
-    )
-    differing = staged(differing, "changed")
-    return base.join(differing, keys), new.join(differing, keys)
-
-
-def _multiset(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
-
-    def lines(files: DataFrame, long: bool) -> DataFrame:
-        return explode_lines(files.filter(F.col("_long") == long).drop("_long"))
-
-    groups = [*keys, "line"]
-    return _few_lines(lines(base, False), lines(new, False), groups).unionByName(
-        _many_lines(lines(base, True), lines(new, True), groups)
-    )
-
-
-def _few_lines(base: DataFrame, new: DataFrame, groups: list[str]) -> DataFrame:
-    """One shuffle: equal lines of a file meet, base lines first. A group has at most two stretches of rows."""
-    both = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    ordered = Window.partitionBy(*groups).orderBy("_new", "line_no")
-    had = F.sum(1 - F.col("_new")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = both.withColumn("_nth", F.row_number().over(ordered)).withColumn("_had", had)
-    return numbered.filter((F.col("_new") == 1) & (F.col("_nth") > 2 * F.col("_had"))).drop("_new", "_nth", "_had")
-
-
-def _many_lines(base: DataFrame, new: DataFrame, groups: list[str]) -> DataFrame:
-    """Long files may repeat a line without limit, so occurrences are ranked stretch by stretch."""
-    had = base.groupBy(*groups).agg(F.count("*").alias("_had"))
-    stretch = F.floor((F.col("line_no") - 1) / STRETCH)
-    nth = ranked(new, groups, stretch, ["line_no"], name="_nth", attach=had)
-    return nth.filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).drop("_nth", "_had")
-
-
-def _added_line_numbers(old: list[str], now: list[str]) -> list[int]:
-    start = 0
-    while start < len(old) and start < len(now) and old[start] == now[start]:
-        start += 1
-    end = 0
-    while end < min(len(old), len(now)) - start and old[-1 - end] == now[-1 - end]:
-        end += 1
-    matcher = difflib.SequenceMatcher(None, old[start : len(old) - end], now[start : len(now) - end], autojunk=False)
-    added: list[int] = []
-    for kind, _, _, first, last in matcher.get_opcodes():
-        if kind in ("replace", "insert"):
-            added.extend(range(start + first + 1, start + last + 1))
-    return added
-
-
-def _aligned(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Only files whose text changed reach Python, one pair of versions at a time."""
-
-    @F.pandas_udf("array<int>")
-    def added(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for olds, nows in pairs:
-            yield pd.Series(
-                [_added_line_numbers([] if o is None else list(o), list(n)) for o, n in zip(olds, nows, strict=True)]
-            )
-
-    base, new = _changed(base.select(*keys, "text"), new.select(*keys, "text"), keys)
-    pairs = new.join(base.select(*keys, F.col("text").alias("_old")), keys, "left")
-    parts = pairs.filter("text <> ''").select(
-        *keys, split_lines(F.col("text")).alias("_now"), split_lines(F.col("_old")).alias("_was")
+    names = list(keys)
+    had = base.select(*names, _line_hashes(F.col("text")).alias("_had"))
+    has = new.select(*names, _line_hashes(F.col("text")).alias("_has"))
+    changed = has.join(had, names, "left").filter(~F.col("_has").eqNullSafe(F.col("_had")))
+    old = F.transform(F.coalesce("_had", F.array()), lambda h: F.struct(F.lit(0).alias("_new"), F.lit(0).alias("line_no"), h.alias("_line")))
+    now = F.transform(
+        F.coalesce("_has", F.array()), lambda h, i: F.struct(F.lit(1).alias("_new"), (i + 1).alias("line_no"), h.alias("_line"))
     )
-    numbered = parts.withColumn("_added", added("_was", "_now"))
-    # the outer form keeps Spark from adding a filter that would evaluate the function a second time
-    exploded = numbered.select(*keys, "_now", F.explode_outer("_added").alias("line_no"))
-    return exploded.filter("line_no IS NOT NULL").select(*keys, "line_no", F.element_at("_now", F.col("line_no")).alias("line"))
+    lines = changed.select(*names, F.inline(F.concat(old, now)))
+    # equal lines of a file meet, base lines first: a new one is left over if it comes after twice as many as the base has
+    ordered = Window.partitionBy(*names, "_line").orderBy("_new", "line_no")
+    seen = F.sum(1 - F.col("_new")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = lines.withColumn("_nth", F.row_number().over(ordered)).withColumn("_seen", seen)
+    added = counted.filter((F.col("_new") == 1) & (F.col("_nth") > 2 * F.col("_seen")))
+    wanted = added.groupBy(*names).agg(F.sort_array(F.collect_list("line_no")).alias("_numbers"))
+    found = new.select(*names, "text").join(wanted, names)
+    texts = found.select(*names, split_lines(F.col("text")).alias("_lines"), "_numbers")
+    one = texts.select(*names, "_lines", F.explode("_numbers").alias("line_no"))
+    return one.select(*names, "line_no", F.element_at("_lines", F.col("line_no")).alias("line"))

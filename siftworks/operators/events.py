@@ -165,13 +165,14 @@ def dest_collisions(plan: DataFrame, order: Sequence[str] = ("ts_micros", "seq")
     )
 
 
-def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def manifest_diff(old: DataFrame, new: DataFrame, digits: int = 3) -> DataFrame:
     """Events that lead from one inventory to another: ``(kind, kind_detail, path, from_path)``.
 
     Inventories are ``(path, length, modified, sha256)``.  A removed and a created
     path with the same digest are a rename; among several copies of one content
     they are paired in the order of their hashed paths, which lets a digest shared
-    by a large part of all files be ranked in 256 pieces.
+    by a large part of all files be ranked in ``16 ** digits`` pieces; take more digits
+    where a piece of the commonest content would be too long for a task.
     """
     facts = ("length", "modified", "sha256")
     before = old.select("path", F.struct(*facts).alias("_before"))
@@ -191,7 +192,7 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         F.when(alone, F.concat(F.lit("path:"), F.col("path"))).otherwise(F.col("_sha256")).alias("_group"),
         F.md5("path").alias("_order"),
     )
-    bucket = F.conv(F.substring("_order", 1, 2), 16, 10).cast("int")
+    bucket = F.conv(F.substring("_order", 1, digits), 16, 10).cast("long")
     numbered = ranked(grouped, ["_group", "kind"], bucket, ["_order", "path"], name="_nth")
 
     def path_of(kind: str) -> Column:

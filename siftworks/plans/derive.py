@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftworks.functions.times import micros
 from siftworks.operators.match import explode_lines
-from siftworks.session import spread
+from siftworks.session import SPREAD, spread
 
 # One line per rule that makes it fire, in catalogue order. Written as
 # concatenations so that no token-shaped text is stored.
@@ -116,10 +116,10 @@ EVENT_PATH = "'u' || (user_id % 20) || '/f' || (event_id % 5)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A driver table, cut to the columns in use and spread over the cores."""
+    """A driver table, cut to the columns in use; spread over the cores if the session asks for that."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     picked = df.select(*columns) if columns else df
-    return spread(picked, picked.columns[0])
+    return spread(picked) if spark.conf.get(SPREAD, "false") == "true" else picked
 
 
 def planted(spark: SparkSession, sf_dir: str, text: str = PLANTED_TEXT) -> DataFrame:

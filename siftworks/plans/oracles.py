@@ -496,10 +496,7 @@ def _bursts(gap: int) -> str:
 
 
 ORACLES["debounce_batch"] = _bursts(registry.GAP_MICROS)
-# a burst is delivered once the watermark, one hour behind the latest event, has passed its end
-ORACLES["debounce_stream"] = f"""
-    SELECT * FROM ({_bursts(registry.GAP_MICROS)})
-    WHERE last_micros + {registry.GAP_MICROS} <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"""
+ORACLES["debounce_stream"] = _bursts(registry.GAP_MICROS)
 _WATCHED = f"""
     SELECT * FROM ({_EVENTS}) WHERE kind IN ('create', 'modify')"""
 ORACLES["plan_actions"] = f"""

@@ -357,13 +357,6 @@ def delta_lines(spark, sf_dir):
     return added.select("path", "line_no", F.md5("line").alias("line_md5"))
 
 
-@query
-def delta_lines_aligned(spark, sf_dir):
-    base, new = _versions(spark, sf_dir)
-    added = delta.delta_lines(base, new, mode="lcs")
-    return added.groupBy("path").agg(F.count("*").alias("added_lines"))
-
-
 @query
 def scan_delta(spark, sf_dir):
     base, new = _versions(spark, sf_dir)
@@ -809,10 +802,10 @@ def scan_stream(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Each token once per file over a log arriving as a stream."""
+    """Each token once per file over a log arriving as a stream; all of it at one time, so no state expires between batches."""
     docs = _stream(spark, sf_dir, "documents")
     texts = docs.select(
-        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("ts"), F.expr(derive.COMMIT_FILE).alias("file"), F.expr(derive.PLANTED_TEXT).alias("text")
+        F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.expr(derive.COMMIT_FILE).alias("file"), F.expr(derive.PLANTED_TEXT).alias("text")
     )
     found = streams.scan_stream(texts, default_rules())
     unique = streams.stream_dedup(found, delay="30 days").select("rule_name", "file", "matched_text")
@@ -822,7 +815,8 @@ def stream_dedup(spark, sf_dir):
 @query
 def debounce_stream(spark, sf_dir):
     log = derive.as_file_events(_stream(spark, sf_dir, "events")).withColumn("ts", F.timestamp_micros("ts_micros"))
-    bursts = streams.debounce_stream(log.drop("ts_micros"), "4 hours", delay="1 hour")
+    ended = streams.with_end(log.drop("ts_micros"), work_dir(spark, "end"))
+    bursts = streams.debounce_stream(ended, "4 hours", delay="1 hour")
     done = _written(spark, bursts, "debounce-stream")
     return done.select(
         "path", F.unix_micros("first_ts").alias("first_micros"), F.unix_micros("last_ts").alias("last_micros"),

@@ -14,7 +14,7 @@ from siftworks.operators.coverage import EXCLUDE_FILE, apply_gitignore, is_ignor
 from siftworks.operators.delta import delta_lines
 from siftworks.operators.findings import as_findings, dedup_findings, file_location
 from siftworks.operators.history import scan_history
-from siftworks.operators.match import match_rules, scan_text, worth_trying
+from siftworks.operators.match import match_rules, scan_text
 from siftworks.session import staged
 from siftworks.sources.readers import decode_text, list_tree, tree_filter
 from siftworks.sources.trees import path_exists, with_content
@@ -48,18 +48,15 @@ def scan_tree(files: DataFrame, options: ScanOptions, *keep: str) -> DataFrame:
     return scan_files(wanted, options, *keep)
 
 
-def scan_delta(base: DataFrame, new: DataFrame, options: ScanOptions, *, keys: tuple[str, ...] = ("path",),
-               mode: str = "multiset") -> DataFrame:
+def scan_delta(base: DataFrame, new: DataFrame, options: ScanOptions, *, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Findings on lines that are new against a base version, with their new line number.
 
     As for history, binary extensions are not skipped here.
     """
     path = F.col("path")
     wanted = ~path_ignored(path, options.all_ignores) & ~path_scan_ignored(path, options.scan_ignore, "history")
-    lines = delta_lines(base.filter(wanted), new.filter(wanted), keys=keys, mode=mode)
-    # tested before trimming: a test on the bare line moves below the comparison of lines
-    candidates = lines.filter(worth_trying(options.rules, F.col("line")))
-    trimmed = candidates.withColumn("line", F.rtrim("line", F.lit("\r")))
+    lines = delta_lines(base.filter(wanted), new.filter(wanted), keys=keys)
+    trimmed = lines.withColumn("line", F.rtrim("line", F.lit("\r")))
     matches = match_rules(trimmed, options.rules, env=is_env_file(path), redact=options.redact)
     extra = [k for k in keys if k != "path"]
     return as_findings(matches, file_location(path, F.col("line_no")), *extra)

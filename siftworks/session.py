@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Set to true, tables of the query catalogue with fewer partitions than cores are dealt over the cores. For measurements
+# on one machine, where a table is one small file; on a cluster file splits do it (spark.sql.files.maxPartitionBytes).
+SPREAD = "spark.siftworks.spreadSmallTables"
+
 SETTINGS = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -19,10 +25,18 @@ SETTINGS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Give a session of your own the settings that can be changed while it runs and that speed and memory depend on."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and measurements; on a cluster, bring your own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("siftworks")
-    for key, value in {**SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions), **extra}.items():
+    for key, value in {**SETTINGS, SPREAD: "true", "spark.sql.shuffle.partitions": str(shuffle_partitions), **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,14 +49,18 @@ _local_base: str | None = None
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a local session without that setting falls back to a temporary folder,
+    which goes when the driver ends.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        _local_base = base = _local_base or tempfile.mkdtemp(prefix="siftworks-")
+        if _local_base is None:
+            _local_base = tempfile.mkdtemp(prefix="siftworks-")
+            atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
+        base = _local_base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -13,6 +13,9 @@ from siftworks.operators.events import MonitorOptions, plan_actions, select_even
 from siftworks.operators.match import scan_text
 from siftworks.sources.writers import run_actions
 
+# later than any event
+END = "9999-12-31 00:00:00"
+
 
 def scan_stream(texts: DataFrame, rules: Sequence[Rule], **options) -> DataFrame:
     """Findings of arriving texts. Stateless: the same plan as a batch scan, applied to what is new."""
@@ -48,6 +51,19 @@ def debounce_stream(
     )
 
 
+def with_end(events: DataFrame, folder: str) -> DataFrame:
+    """A bounded stream of events with one more event, on no path and later than all others.
+
+    It moves the watermark past every open burst, so that ``debounce_stream`` delivers all
+    of them before the stream ends.  The event is written to ``folder``, which must be new and shared.
+    """
+    spark = events.sparkSession
+    last = {"ts": F.lit(END).cast(events.schema["ts"].dataType)}
+    row = spark.range(1).select(*[last.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
+    row.write.parquet(folder)
+    return events.unionByName(spark.readStream.schema(row.schema).parquet(folder))
+
+
 def monitor(
     events: DataFrame,
     options: MonitorOptions,

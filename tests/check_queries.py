@@ -32,7 +32,7 @@ def compare(spark, con, sf_dir: str, name: str) -> str | None:
     sql = entry.oracle_sql().get(name)
     frame = entry.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
-    ours = Counter(tuple(row) for row in frame.select(*columns).collect())
+    ours = Counter(tuple(tuple(x) if isinstance(x, list) else x for x in row) for row in frame.select(*columns).collect())
     if sql is None:
         return f"rows only ({sum(ours.values())})"
     result = con.execute(f"SELECT * FROM ({sql})")

@@ -87,9 +87,7 @@ def versions(seed):
     return files
 
 
-@pytest.mark.parametrize("stretch", [3, 4096])
-def test_delta_multiset(frame, monkeypatch, stretch):
-    monkeypatch.setattr(delta, "STRETCH", stretch)
+def test_delta_multiset(frame):
     files = versions(1)
     base = frame([(p, o) for p, o, _ in files if o is not None], "path string, text string")
     new = frame([(p, n) for p, _, n in files], "path string, text string")
@@ -103,36 +101,25 @@ def test_delta_multiset(frame, monkeypatch, stretch):
     assert sorted(map(tuple, delta.delta_lines(base, new).collect())) == sorted(expected)
 
 
-def longest_common(a, b):
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    return table[-1][-1]
+def test_delta_of_long_files_and_a_line_repeated_very_often(frame):
+    old = ["same"] * 200_000 + [f"l{i}" for i in range(20_000)]
+    now = [f"l{i}" for i in range(19_990, -1, -1)] + ["same"] * 200_003 + ["end"]
+    schema = "path string, text string"
+    base, new = frame([("p", "\n".join(old)), ("q", "a")], schema), frame([("p", "\n".join(now)), ("q", "a"), ("r", None)], schema)
+    found = [tuple(r) for r in delta.delta_lines(base, new).collect()]
+    last = 19_991 + 200_000
+    assert sorted(found) == [("p", last + i, "same") for i in (1, 2, 3)] + [("p", last + 4, "end")]
 
 
-def test_delta_aligned(frame):
-    """The lines left out form a common subsequence of both versions, in order."""
-    files = versions(2)
-    base = frame([(p, o) for p, o, _ in files if o is not None], "path string, text string")
-    new = frame([(p, n) for p, _, n in files], "path string, text string")
-    added = defaultdict(dict)
-    for r in delta.delta_lines(base, new, mode="lcs").collect():
-        added[r.path][r.line_no] = r.line
-    for path, old, now in files:
-        lines = now.splitlines()
-        assert all(lines[i - 1] == line for i, line in added[path].items())
-        kept = [line for i, line in enumerate(lines, 1) if i not in added[path]]
-        old_lines = (old or "").splitlines()
-        assert longest_common(kept, old_lines) == len(kept)
-        if lines == old_lines:
-            assert not added[path]
-    moved = delta.delta_lines(
-        frame([("p", "a\nb\nc")], "path string, text string"), frame([("p", "b\nc\na")], "path string, text string"), mode="lcs"
-    )
-    assert [(r.line_no, r.line) for r in moved.collect()] == [(3, "a")]
-    with pytest.raises(ValueError):
-        delta.delta_lines(base, new, mode="other")
+def test_delta_shuffles_hashes_and_reads_each_version_at_most_twice(spark, frame):
+    schema = "path string, text string"
+    base, new = frame([("p", "a")], schema), frame([("p", "b")], schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = delta.delta_lines(base, new)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3
 
 
 def test_scan_delta(frame):
