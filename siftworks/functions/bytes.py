@@ -38,6 +38,20 @@ def _flag(value: Column | bool) -> Column:
     return F.lit(value) if isinstance(value, bool) else value
 
 
+# No value is longer; a result that would be is NULL, with an error where the form has one.
+MOST_BYTES = 2**31 - 16
+
+# Error texts.
+SHORT_BUFFER = "failed to fill whole buffer"
+PAST_END = "Offset past EOF; use append_zero_past_eof flag"
+WRONG_LENGTH = "Data length (%d) must match range length (%d) for overwrite"
+ODD_DIGITS = "hex bytes must have an even number of hex digits"
+NO_DIGITS = "no hex bytes provided"
+AT_END = (" is at or past EOF (", ")")
+
+TOO_LONG = "the result does not fit one value"
+
+
 def size(content: Column) -> Column:
     return F.octet_length(content).cast("long")
 
@@ -58,8 +72,9 @@ def tail(content: Column, start: Column) -> Column:
 
 
 def pad_to(content: Column, length: Column) -> Column:
-    """Zero bytes appended up to ``length``; never shortened."""
-    return F.rpad(content, F.greatest(length, size(content)).cast("int"), F.lit(b"\x00"))
+    """Zero bytes appended up to ``length``; never shortened. NULL beyond ``MOST_BYTES``."""
+    wanted = F.least(F.greatest(length, size(content)), F.lit(MOST_BYTES)).cast("int")
+    return F.when(length <= MOST_BYTES, F.rpad(content, wanted, F.lit(b"\x00")))
 
 
 def reverse_bytes(content: Column) -> Column:
@@ -111,7 +126,9 @@ def byte_range(content: Column, start: Column | int, end: Column | int | None, d
         end = _long(end)
         first = F.when(start < 0, n + start).otherwise(start)
         last = F.when(end < 0, n + end).otherwise(end)
-        return F.when((first >= 0) & (last >= first), cut(content, first, last - first + 1)).otherwise(nothing)
+        return F.when((first >= 0) & (last >= first), cut(content, first, F.least(last, n) - F.least(first, n) + 1)).otherwise(
+            nothing
+        )
     first = resolve_offset(start, n)
     to_end = F.greatest(n - 1, F.lit(0))
     if end is None:
@@ -121,8 +138,8 @@ def byte_range(content: Column, start: Column | int, end: Column | int | None, d
         last = F.when(end == I64_MAX, to_end).otherwise(resolve_offset(end, n))
     empty = (first > last) | (first >= n)
     failed = ~empty & (last >= n)
-    data = F.when(empty, nothing).when(~failed, cut(content, first, last - first + 1))
-    return F.struct(data.alias("bytes"), F.when(failed, F.lit("failed to fill whole buffer")).alias("error"))
+    data = F.when(empty, nothing).when(~failed, cut(content, first, F.least(last, n) - F.least(first, n) + 1))
+    return F.struct(data.alias("bytes"), F.when(failed, F.lit(SHORT_BUFFER)).alias("error"))
 
 
 def byte_page(content: Column, offset: Column | int, page: int = PAGE_BYTES) -> Column:
@@ -184,7 +201,8 @@ def _oriented(data: Column, turned: Column) -> Column:
 
 
 def _result(content: Column, error: Column) -> Column:
-    return F.struct(F.when(error.isNull(), content).alias("content"), error.alias("error"))
+    too_long = F.when(content.isNull(), F.lit(TOO_LONG))
+    return F.struct(F.when(error.isNull(), content).alias("content"), F.coalesce(error, too_long).alias("error"))
 
 
 def append_eof(content: Column, data: Column, reverse: Column | bool = False) -> Column:
@@ -221,7 +239,7 @@ def overwrite_at(
             .otherwise(content)
         )
     past = (at > n) & ~append_zero
-    error = F.when(past, F.lit("Offset past EOF; use append_zero_past_eof flag"))
+    error = F.when(past, F.lit(PAST_END))
     return _result(F.when(at > n, padded).otherwise(inside), error)
 
 
@@ -245,7 +263,8 @@ def overwrite_range(
     """
     n = size(content)
     one, two = resolve_offset(first, n), resolve_offset(second, n)
-    low, high = F.least(one, two), F.greatest(one, two)
+    # no offset beyond this can be reached, and sums of two stay in range
+    low, high = F.least(one, two, F.lit(I64_MAX // 2)), F.least(F.greatest(one, two), F.lit(I64_MAX // 2))
     descending, reverse = one > two, _flag(reverse)
     if _dialect(dialect):
         turned = _oriented(data, descending | reverse)
@@ -257,7 +276,7 @@ def overwrite_range(
     written = F.concat(pad_to(head(content, low), low), turned, tail(content, high + 1))
     error = F.when(
         size(data) != length,
-        F.format_string("Data length (%d) must match range length (%d) for overwrite", size(data), length),
+        F.format_string(WRONG_LENGTH, size(data), length),
     )
     return _result(written, error)
 
@@ -298,10 +317,10 @@ def patch_hex(content: Column, offset: Column | int, hex_text: Column) -> Column
     offset = _long(offset)
     at = resolve_offset(offset, n)
     error = (
-        F.when(F.length(digits) % 2 != 0, F.lit("hex bytes must have an even number of hex digits"))
-        .when(digits == "", F.lit("no hex bytes provided"))
+        F.when(F.length(digits) % 2 != 0, F.lit(ODD_DIGITS))
+        .when(digits == "", F.lit(NO_DIGITS))
         .when(offset.isNull(), F.lit("invalid offset"))
-        .when(at >= n, F.concat(F.lit("offset 0x"), F.hex(at), F.lit(" is at or past EOF ("), n.cast("string"), F.lit(")")))
+        .when(at >= n, F.concat(F.lit("offset 0x"), F.hex(at), F.lit(AT_END[0]), n.cast("string"), F.lit(AT_END[1])))
     )
     data = F.unhex(digits)
     fits = F.least(size(data), n - at)

@@ -80,7 +80,7 @@ def scan_strings(blobs: DataFrame, *, content: str = "content", min_length: int
 
     No built-in function returns match positions, and rebuilding them takes a
     window per blob; an Arrow batch with a compiled bytes pattern is one pass
-    without a shuffle.
+    without a shuffle.  Results are handed over every few thousand matches or few megabytes.
     """
     keep = [f for f in blobs.schema.fields if f.name != content]
     names = [f.name for f in keep]
@@ -90,16 +90,24 @@ def scan_strings(blobs: DataFrame, *, content: str = "content", min_length: int
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = re.compile(pattern).finditer
         for batch in batches:
-            source, offsets, values = [], [], []
+            source, offsets, values, held = [], [], [], 0
+
+            def found(batch=batch) -> pa.RecordBatch:
+                picked = batch.select(names).take(pa.array(source, pa.int64()))
+                columns = [*picked.columns, pa.array(offsets, pa.int64()), pa.array(values, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=[*names, "offset", "value"])
+
             for row, blob in enumerate(batch.column(content)):
                 data = blob.as_py()
                 for match in finder(data or b""):
                     source.append(row)
                     offsets.append(match.start())
                     values.append(match.group().decode("ascii"))
-            picked = batch.select(names).take(pa.array(source, pa.int64()))
-            columns = [*picked.columns, pa.array(offsets, pa.int64()), pa.array(values, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "offset", "value"])
+                    held += len(values[-1])
+                    if len(source) >= 8192 or held >= 16 << 20:
+                        yield found()
+                        source, offsets, values, held = [], [], [], 0
+            yield found()
 
     return blobs.select(*names, content).mapInArrow(scan, schema)
 

@@ -53,6 +53,14 @@ def parse_rule(line: Column) -> Column:
     anchored = F.contains(body, F.lit("/"))
     glob = F.regexp_replace(body, "^/", "")
     literal = ~glob.rlike(r"[\\\[*?]")
+    # most globs are one star around plain text, which needs no regex
+    form = (
+        F.when(literal, F.lit("exact"))
+        .when(~anchored & glob.rlike(r"^\*[^\\\[*?]+$"), F.lit("ends"))
+        .when(~anchored & glob.rlike(r"^[^\\\[*?]+\*$"), F.lit("starts"))
+        .when(glob.rlike(r"^[^\\\[*?]+/\*\*$"), F.lit("below"))
+        .otherwise(F.lit("regex"))
+    )
     tokens = F.regexp_extract_all(glob, F.lit(_TOKENS), F.lit(1))
     regex = F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(tokens, _token_regex), ""), F.lit(r"\z"))
     usable = (glob != "") & ~F.startswith(text, F.lit("#"))
@@ -64,6 +72,11 @@ def parse_rule(line: Column) -> Column:
             anchored.alias("anchored"),
             literal.alias("literal"),
             F.when(literal, glob).otherwise(regex).alias("glob"),
+            form.alias("form"),
+            F.when(form == "ends", F.substr(glob, F.lit(2)))
+            .when(form == "starts", F.regexp_replace(glob, r"\*$", ""))
+            .when(form == "below", F.regexp_replace(glob, r"\*\*$", ""))
+            .alias("part"),
         ),
     )
 
@@ -83,7 +96,7 @@ def load_gitignore_rules(files: DataFrame) -> DataFrame:
 def gitignore_rule_rows(rules: DataFrame) -> DataFrame:
     """The rules as rows, for reports."""
     return rules.select("repo", "level_dir", F.posexplode("rules").alias("rule_no", "rule")).select(
-        "repo", "level_dir", "rule_no", "rule.*"
+        "repo", "level_dir", "rule_no", *[f"rule.{x}" for x in ("negated", "dir_only", "anchored", "literal", "glob")]
     )
 
 
@@ -93,7 +106,14 @@ def _verdict(candidate: Column, is_dir: Column, rules: Column) -> Column:
 
     def matches(rule: Column) -> Column:
         subject = F.when(rule["anchored"], candidate).otherwise(base)
-        same = F.when(rule["literal"], subject == rule["glob"]).otherwise(F.rlike(subject, rule["glob"]))
+        part = rule["part"]
+        same = (
+            F.when(rule["form"] == "exact", subject == rule["glob"])
+            .when(rule["form"] == "ends", F.endswith(subject, part))
+            .when(rule["form"] == "starts", F.startswith(subject, part))
+            .when(rule["form"] == "below", F.startswith(subject, part) & (subject != part))
+            .otherwise(F.rlike(subject, rule["glob"]))
+        )
         return (is_dir | ~rule["dir_only"]) & same
 
     return F.aggregate(

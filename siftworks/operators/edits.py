@@ -11,6 +11,9 @@ from siftworks.operators.blobs import hex_rows, offset_text, row_cells, row_gutt
 # Offsets are grouped in stretches of this many bytes while runs are found.
 STRETCH = 1 << 16
 
+BAD_OFFSET = "an offset is not a number"
+NO_DATA = "there is no data to write"
+
 
 def last_edit_wins(edit_log: DataFrame) -> DataFrame:
     """``edit_log(path, seq, offset, byte)`` to one row per (path, offset); edits without a byte are dropped."""
@@ -74,9 +77,12 @@ def apply_runs(blobs: DataFrame, runs: DataFrame) -> DataFrame:
     """Blobs with all their runs patched in; runs are cut at the end of the content, later ones ignored.
 
     The new content is put together in one pass from the stretches between runs,
-    so the cost grows with the content and not with content times runs.
+    so the cost grows with the content and not with content times runs.  Runs past the end are
+    dropped before a blob's runs are brought together.
     """
-    per_path = runs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("_runs"))
+    ends = blobs.select("path", F.octet_length("content").alias("_end"))
+    reaching = runs.join(ends, "path").filter(F.col("start") < F.col("_end"))
+    per_path = reaching.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("_runs"))
     content, n = F.col("content"), B.size(F.col("content"))
     inside = F.filter("_runs", lambda r: r["start"] < n)
 
@@ -123,38 +129,47 @@ def edits_preview(blobs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def payload_join(edits: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Fill ``data`` from the blob named by ``payload_path``, from ``payload_offset`` on."""
+    """Fill ``data`` from the blob named by ``payload_path``, from ``payload_offset`` on; NULL where there is no such blob.
+
+    Commands with data of their own take no part in the join.
+    """
     source = payloads.select(F.col("path").alias("payload_path"), F.col("content").alias("_payload"))
-    joined = edits.join(source, "payload_path", "left")
-    taken = B.payload(F.col("_payload"), F.col("payload_offset"))
-    return joined.withColumn("data", F.when(F.col("payload_path").isNotNull(), taken).otherwise(F.col("data"))).drop(
-        "_payload"
-    )
+    named = edits.filter(F.col("payload_path").isNotNull()).join(source, "payload_path", "left")
+    filled = named.withColumn("data", B.payload(F.col("_payload"), F.col("payload_offset"))).select(*edits.columns)
+    return edits.filter(F.col("payload_path").isNull()).unionByName(filled)
 
 
 def edit_results(blobs: DataFrame, edits: DataFrame) -> DataFrame:
     """The content each write command gives when applied to its blob: ``(path, seq, content, error)``.
 
     ``edits(path, seq, mode, offset, end_offset, data, append_zero, reverse, dialect)``
-    with ``mode`` overwrite or insert and offsets as typed, ``eof`` included.
+    with ``mode`` overwrite or insert and offsets as typed, ``eof`` included.  A command that cannot be
+    carried out has no content and an error: without data, with offsets that do not parse (the cli takes a
+    single one for 0, and ``eof`` for the end), or with a result too long for one value.
     """
-    first = B.parse_int_auto(F.col("offset"))
+    gui_typed = F.col("dialect") == "gui"
+
+    def parsed_as_typed(name: str) -> Column:
+        return F.when(gui_typed, B.parse_int_auto(F.col(name), "gui")).otherwise(B.parse_int_auto(F.col(name)))
+
     # parsed in a projection of their own, since every form below uses them several times
     parsed = edits.select(
-        "path", "seq", "data", "append_zero", "reverse", "dialect",
+        "path", "seq", "data", "append_zero", "reverse",
+        gui_typed.alias("_gui"),
         (F.col("mode") == "overwrite").alias("_overwrite"),
-        (F.col("offset") == "eof").alias("_at_end"),
+        (~gui_typed & (F.col("offset") == "eof") & F.col("end_offset").isNull()).alias("_at_end"),
         F.col("end_offset").isNotNull().alias("_ranged"),
-        first.alias("_first"),
-        B.parse_int_auto(F.col("end_offset")).alias("_second"),
-        F.coalesce(first, F.lit(0).cast("long")).alias("_start"),
+        parsed_as_typed("offset").alias("_first"),
+        parsed_as_typed("end_offset").alias("_second"),
     )
-    joined = parsed.join(blobs.select("path", "content"), "path")
-    content, data = F.col("content"), F.col("data")
+    first, second = F.col("_first"), F.col("_second")
+    ranged, at_end, overwrite = F.col("_ranged"), F.col("_at_end"), F.col("_overwrite")
+    unread = ((F.col("_gui") | ranged) & first.isNull()) | (ranged & second.isNull())
+    refused = F.when(F.col("data").isNull(), F.lit(NO_DATA)).when(unread, F.lit(BAD_OFFSET))
+    checked = parsed.withColumn("_refused", refused).withColumn("_start", F.coalesce("_first", F.lit(0).cast("long")))
+    joined = checked.join(blobs.select("path", "content"), "path")
+    content, data, start = F.col("content"), F.col("data"), F.col("_start")
     turned, grow = F.col("reverse"), F.col("append_zero")
-    first, second, start = F.col("_first"), F.col("_second"), F.col("_start")
-    ranged, at_end = F.col("_ranged"), F.col("_at_end")
-    overwrite = F.col("_overwrite")
     cli = (
         F.when(overwrite & ranged, B.overwrite_range(content, first, second, data, append_zero=grow, reverse=turned))
         .when(ranged, B.insert_range(content, first, second, data, reverse=turned))
@@ -171,6 +186,8 @@ def edit_results(blobs: DataFrame, edits: DataFrame) -> DataFrame:
         .when(overwrite, B.overwrite_at(content, start, data, append_zero=grow, reverse=turned, dialect="gui"))
         .otherwise(F.struct(inserted.alias("content"), F.lit(None).cast("string").alias("error")))
     )
-    plain = F.struct(cli.alias("content"), F.lit(None).cast("string").alias("error"))
-    result = F.when(F.col("dialect") == "gui", gui).otherwise(plain)
-    return joined.select("path", "seq", result.alias("_r")).select("path", "seq", "_r.content", "_r.error")
+    plain = F.struct(cli.alias("content"), F.when(cli.isNull(), F.lit(B.TOO_LONG)).alias("error"))
+    result = F.when(F.col("_refused").isNull(), F.when(F.col("_gui"), gui).otherwise(plain))
+    return joined.select("path", "seq", "_refused", result.alias("_r")).select(
+        "path", "seq", "_r.content", F.coalesce("_refused", "_r.error").alias("error")
+    )

@@ -16,6 +16,9 @@ KINDS = ("create", "modify", "remove", "access", "other")
 RENAMES = ("name_from", "name_to", "name_both", "name_any")
 ACTIONS = ("copy", "move", "delete")
 
+# Slots of a path that are put in order by one task.
+STRETCH = 4096
+
 
 @dataclass(frozen=True)
 class MonitorOptions:
@@ -95,8 +98,9 @@ def debounce(events: DataFrame, gap_micros: int, *, order: str = "seq") -> DataF
 
     ``events(path, ts_micros, kind, kind_detail, <order>)``.  Events in one
     gap-wide slot of time always belong to the same burst, so they are reduced to
-    one row per (path, slot) before the shuffle; only slots meet in the window,
-    however many events a busy path has.
+    one row per (path, slot) before the shuffle.  Slots meet in windows over stretches of
+    ``STRETCH`` slots of a path, and only one row per stretch meets in the windows over a whole path,
+    so a path that is busy for years is still shared by many tasks.
     """
     last = F.struct("kind", "kind_detail", F.col(order).alias("last_order"))
     slots = (
@@ -109,9 +113,20 @@ def debounce(events: DataFrame, gap_micros: int, *, order: str = "seq") -> DataF
             F.max_by(last, F.struct("ts_micros", order)).alias("_last"),
         )
     )
-    by_slot = Window.partitionBy("path").orderBy("_slot")
-    opens = F.coalesce((F.col("_from") - F.lag("_to").over(by_slot) > gap_micros).cast("int"), F.lit(1))
-    bursts = slots.withColumn("_opens", opens).withColumn("_burst", F.sum("_opens").over(by_slot))
+    stretched = slots.withColumn("_stretch", F.floor(F.col("_slot") / F.lit(STRETCH)))
+    by_slot = Window.partitionBy("path", "_stretch").orderBy("_slot")
+    by_stretch = Window.partitionBy("path").orderBy("_stretch")
+    ends = stretched.groupBy("path", "_stretch").agg(F.max("_to").alias("_end"))
+    ends = ends.select("path", "_stretch", F.lag("_end").over(by_stretch).alias("_end_before"))
+    before = F.coalesce(F.lag("_to").over(by_slot), F.col("_end_before"))
+    pause = F.coalesce(F.col("_from") - before > gap_micros, F.lit(True))
+    marked = stretched.join(ends, ["path", "_stretch"]).withColumn("_opened", F.when(pause, F.col("_slot")))
+    # a burst is known by the slot that opens it, which may lie in an earlier stretch
+    earlier = by_stretch.rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("path", "_stretch").agg(F.max("_opened").alias("_last"))
+    carried = carried.select("path", "_stretch", F.max("_last").over(earlier).alias("_carried"))
+    burst = F.coalesce(F.max("_opened").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    bursts = marked.join(carried, ["path", "_stretch"]).withColumn("_burst", burst)
     return (
         bursts.groupBy("path", "_burst")
         .agg(

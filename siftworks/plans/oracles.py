@@ -426,12 +426,32 @@ _WITH_PAYLOAD = f"""
                           CASE WHEN doc_id % 10 = 0 THEN substr(h, 81) ELSE h END, '..')), '') AS rd
                FROM ({_BLOBS})) o
       ON c.doc_id % 5 = 1 AND o.doc_id = c.doc_id - 1"""
-ORACLES["edit_results"] = _result(
-    f"""CASE WHEN doc_id % 13 = 0 THEN h || {_T} WHEN doc_id % 2 = 0 THEN {_OVERWRITE_AT}
-        WHEN m = 0 THEN h ELSE {_INSERT_AT} END""",
-    _WITH_PAYLOAD,
-    ", doc_id AS seq",
-)
+# 'x' is 0 for the cli and no number for the gui; ranges (doc_id % 19 = 0) end at ``till`` or do not parse
+_GUI = "(doc_id % 3 = 1)"
+_TYPED_EOF, _TYPED_X = "doc_id % 13 = 0", "doc_id % 17 = 0 AND doc_id % 13 <> 0"
+_RANGED = "(doc_id % 19 = 0)"
+_EDIT_ERROR = f"""CASE WHEN doc_id % 25 = 1 THEN 'there is no data to write'
+    WHEN {_GUI} AND ({_TYPED_EOF} OR {_TYPED_X} OR doc_id % 38 = 19) THEN 'an offset is not a number'
+    WHEN NOT {_GUI} AND {_RANGED} AND ({_TYPED_EOF} OR {_TYPED_X} OR doc_id % 38 = 19) THEN 'an offset is not a number'
+    WHEN {_GUI} AND {_RANGED} AND doc_id % 2 = 0 AND m <> hi - lo + 1
+        THEN 'Data length (' || m || ') must match range length (' || (hi - lo + 1) || ') for overwrite'
+    WHEN {_GUI} AND NOT {_RANGED} AND doc_id % 2 = 0 AND p > n AND NOT grow THEN 'Offset past EOF; use append_zero_past_eof flag'
+    END"""
+_EDIT_GUI = f"""CASE WHEN doc_id % 2 = 1 THEN {_cut('0', 'p')} || {_T} || {_cut('p')}
+    WHEN {_RANGED} THEN {_cut('0', 'lo')} || {_ZEROS.format('lo - n')} || CASE WHEN (p > q) <> turn THEN rd ELSE d END || {_cut('hi + 1')}
+    WHEN p > n THEN {_PADDED} ELSE {_INSIDE} END"""
+_EDIT_CLI = f"""CASE WHEN {_RANGED} AND m <> hi - lo THEN h
+    WHEN {_RANGED} AND grow THEN {_WRITTEN} || {_ZEROS.format(f'hi - length({_WRITTEN}) // 2')}
+    WHEN {_RANGED} THEN {_WRITTEN}
+    WHEN {_TYPED_EOF} THEN h || {_T} WHEN doc_id % 2 = 0 THEN {_OVERWRITE_AT} WHEN m = 0 THEN h ELSE {_INSERT_AT} END"""
+ORACLES["edit_results"] = f"""
+    SELECT path, seq, CASE WHEN error IS NULL THEN length END AS length,
+           CASE WHEN error IS NULL THEN content_md5 END AS content_md5, error
+    FROM ({_result(
+        f"CASE WHEN {_GUI} THEN {_EDIT_GUI} ELSE {_EDIT_CLI} END",
+        f"SELECT *, least(p, q) AS lo, greatest(p, q) AS hi FROM ({_WITH_PAYLOAD})",
+        f", doc_id AS seq, {_EDIT_ERROR} AS error",
+    )})"""
 _EDITS = """
     SELECT 'd' || user_id AS path, event_id % 512 AS "offset",
            CAST(arg_max(CAST(floor(value) AS BIGINT) % 256, event_id) AS SMALLINT) AS byte

@@ -609,25 +609,28 @@ def patch_hex(spark, sf_dir):
 
 @query
 def edit_results(spark, sf_dir):
-    """Write commands with offsets as typed, in both dialects, some with data taken from another blob."""
+    """Write commands with offsets as typed, in both dialects, some as ranges, some with data taken from another blob."""
     commands = _commands(spark, sf_dir)
+    gui = "doc_id % 3 = 1"
     typed = commands.select(
         "path",
         F.col("doc_id").alias("seq"),
         F.expr("CASE WHEN doc_id % 2 = 0 THEN 'overwrite' ELSE 'insert' END").alias("mode"),
-        F.expr("CASE WHEN doc_id % 13 = 0 THEN 'eof' WHEN doc_id % 17 = 0 THEN 'x' WHEN at >= 0 THEN '0x' || hex(at) "
-               "ELSE CAST(at AS STRING) END").alias("offset"),
-        F.lit(None).cast("string").alias("end_offset"),
+        F.expr(f"CASE WHEN doc_id % 13 = 0 THEN 'eof' WHEN doc_id % 17 = 0 THEN 'x' WHEN {gui} AND doc_id % 7 = 0 THEN at || 'k' "
+               "WHEN at >= 0 THEN '0x' || hex(at) ELSE CAST(at AS STRING) END").alias("offset"),
+        F.expr("CASE WHEN doc_id % 19 = 0 THEN CASE WHEN doc_id % 38 = 0 THEN CAST(till AS STRING) ELSE 'y' END END").alias("end_offset"),
         "data",
-        F.expr("CASE WHEN doc_id % 5 = 1 THEN 'd' || (doc_id - 1) END").alias("payload_path"),
+        F.expr("CASE WHEN doc_id % 25 = 1 THEN 'nowhere' WHEN doc_id % 5 = 1 THEN 'd' || (doc_id - 1) END").alias("payload_path"),
         F.expr("CASE WHEN doc_id % 10 = 1 THEN 40 END").cast("long").alias("payload_offset"),
         F.col("grow").alias("append_zero"),
         F.col("turn").alias("reverse"),
-        F.lit("cli").alias("dialect"),
+        F.expr(f"CASE WHEN {gui} THEN 'gui' ELSE 'cli' END").alias("dialect"),
     )
     blobs = derive.blobs(spark, sf_dir).select("path", "content")
     results = edits.edit_results(blobs, edits.payload_join(typed, blobs))
-    return results.select("path", "seq", B.size(F.col("content")).alias("length"), _digest(F.col("content")).alias("content_md5"))
+    return results.select(
+        "path", "seq", B.size(F.col("content")).alias("length"), _digest(F.col("content")).alias("content_md5"), "error"
+    )
 
 
 @query

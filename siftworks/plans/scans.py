@@ -16,18 +16,28 @@ from siftworks.operators.findings import as_findings, dedup_findings, file_locat
 from siftworks.operators.history import scan_history
 from siftworks.operators.match import match_rules, scan_text
 from siftworks.session import staged
-from siftworks.sources.readers import decode_text, list_tree, tree_filter
+from siftworks.sources.readers import decode_text, list_tree, load_ignore_rules, tree_filter
 from siftworks.sources.trees import path_exists, with_content
 
 
+# Fixed value: the name of a directory's own scan-ignore file.
+IGNORE_FILE = ".fssignore"
+
+
 @dataclass(frozen=True)
 class ScanOptions:
-    """Rules, ignores and output choices of a scan."""
+    """Rules, ignores and output choices of a scan.
+
+    ``ignore_file`` is read from the root of a scanned directory and adds to ``scan_ignore``;
+    ``global_ignores`` are lines of a user's own version-control ignore file, which hold in every directory scan of a repository.
+    """
 
     rules: Sequence[Rule] = field(default_factory=default_rules)
     ignore: Sequence[str] = ()
     scan_ignore: Sequence[str] = ()
     redact: bool = True
+    ignore_file: str | None = IGNORE_FILE
+    global_ignores: Sequence[str] = ()
 
     @property
     def all_ignores(self) -> list[str]:
@@ -93,8 +103,11 @@ def union_sources(findings: DataFrame, *others: DataFrame | None) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
-    """Scan the files below a folder; if it is a repository, its ignore files decide what is covered."""
-    listing = list_tree(spark, root, ignore=options.all_ignores, scan_ignore=options.scan_ignore)
+    """Scan the files below a folder, its own scan-ignore file honoured; if it is a repository, its ignore files decide what is covered."""
+    scan_ignore = list(options.scan_ignore)
+    if options.ignore_file:
+        scan_ignore += load_ignore_rules(spark, f"{root.rstrip('/')}/{options.ignore_file}")
+    listing = list_tree(spark, root, ignore=options.all_ignores, scan_ignore=scan_ignore)
     path = F.col("path")
     texts = decode_text(with_content(listing.filter(~is_binary_ext(path)))).withColumn("repo", F.lit(root))
     findings = scan_files(texts, options, "repo")
@@ -103,4 +116,10 @@ def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> Data
     exclude = spark.range(1).select(F.lit(root).alias("root"), F.lit(EXCLUDE_FILE).alias("path"), F.lit(0).alias("length"))
     ignore_files = listing.filter(is_ignore_file(path)).select("root", "path", "length").unionByName(exclude)
     rules = load_gitignore_rules(decode_text(with_content(ignore_files)).withColumn("repo", F.lit(root)))
+    if options.global_ignores:
+        # a file of its own at the root: every ignore file is judged by itself
+        own = spark.range(1).select(
+            F.lit(root).alias("repo"), F.lit(EXCLUDE_FILE).alias("path"), F.lit("\n".join(options.global_ignores)).alias("text")
+        )
+        rules = rules.unionByName(load_gitignore_rules(own))
     return apply_gitignore(staged(findings, "findings"), rules).drop("repo")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftworks.operators.events import dest_collisions
 from siftworks.operators.findings import FINDING_COLUMNS, findings_report, partition_covered
+from siftworks.session import work_dir
 from siftworks.sources.trees import open_filesystem
 
 RESULT_SCHEMA = "source string, destination string, effect string, done boolean, error string"
@@ -67,7 +68,8 @@ def _move(source: str, destination: str) -> bool:
     source_fs, path = open_filesystem(source)
     dest_fs, dest_path = open_filesystem(destination)
     if source_fs.get_file_info(path).type == fs.FileType.NotFound:
-        return False
+        # moved by an earlier attempt of this task
+        return dest_fs.get_file_info(dest_path).type != fs.FileType.NotFound
     dest_fs.create_dir(dest_path.rsplit("/", 1)[0], recursive=True)
     if source_fs.type_name == dest_fs.type_name:
         source_fs.move(path, dest_path)
@@ -90,22 +92,26 @@ def last_writers(plan: DataFrame) -> DataFrame:
     only removes its source.
     """
     steps = plan.select("source", "destination", "effect").distinct()
+    # steps without a destination have no rival and would all meet under one key
+    alone = steps.filter(F.col("destination").isNull())
     winners = dest_collisions(plan).select("destination", "winner")
-    joined = steps.join(winners, "destination", "left")
+    joined = steps.filter(F.col("destination").isNotNull()).join(winners, "destination", "left")
     wins = F.col("winner").isNull() | (F.col("winner") == F.col("source"))
     kept = joined.filter(wins | (F.col("effect") == "move"))
-    return kept.select(
+    return alone.unionByName(kept.select(
         "source",
         F.when(wins, F.col("destination")).alias("destination"),
         F.when(wins, F.col("effect")).otherwise(F.lit("delete")).alias("effect"),
-    )
+    ))
 
 
-def run_actions(plan: DataFrame, *, dry_run: bool = True) -> DataFrame:
+def run_actions(plan: DataFrame, *, dry_run: bool = True, report: str | None = None) -> DataFrame:
     """Carry out planned steps on the executors and report each one; a failure is a row, not an exception.
 
     Paths must be reachable from every executor.  A missing source is no error.
-    A dry run, the default, only reports what would be done.
+    A dry run, the default, only reports what would be done.  The steps are carried out by this call,
+    once: their report is written to the new folder ``report`` (by default one in the shared folder) and read back.
+    A step that a lost task has done already counts as done.
     """
     steps = last_writers(plan)
     if dry_run:
@@ -120,12 +126,14 @@ def run_actions(plan: DataFrame, *, dry_run: bool = True) -> DataFrame:
                 try:
                     done.append(_act(effect, source, destination))
                     errors.append(None)
-                except OSError as error:
+                except Exception as error:  # noqa: BLE001 - whatever fails is that row's failure
                     done.append(False)
                     errors.append(str(error))
             yield frame.assign(done=done, error=errors)
 
-    return steps.mapInPandas(act, RESULT_SCHEMA)
+    folder = report or work_dir(plan.sparkSession, "actions")
+    steps.mapInPandas(act, RESULT_SCHEMA).write.mode("overwrite").parquet(folder)
+    return plan.sparkSession.read.schema(RESULT_SCHEMA).parquet(folder)
 
 
 def copy_files(pairs: DataFrame) -> DataFrame:

@@ -94,8 +94,11 @@ def monitor(
     def act(batch: DataFrame, batch_id: int) -> None:
         ordered = batch.withColumn("ts_micros", F.unix_micros(F.col("ts").cast("timestamp")))
         plan = plan_actions(ordered, options.action, options.dest)
-        report = run_actions(plan, dry_run=dry_run)
-        report.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        folder = f"{out}/batch={batch_id}"
+        if dry_run:
+            run_actions(plan).write.mode("overwrite").parquet(folder)
+        else:
+            run_actions(plan, dry_run=False, report=folder)
 
     writer = selected.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
     if available_now:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftworks.functions import bytes as B
 from siftworks.operators import edits as E
 
 SCHEMA = "path string, seq long, offset long, byte smallint"
@@ -89,6 +90,15 @@ def test_write_commands(frame):
         ("g", 7, "overwrite", "9", None, b"z", None, None, False, False, "gui", None),
         ("g", 8, "insert", "9", None, b"z", None, None, False, False, "gui", b"FOOz"),
         ("g", 9, "overwrite", "0", "2", b"abc", None, None, False, True, "gui", b"cba"),
+        ("g", 10, "overwrite", "2k", None, b"z", None, None, False, False, "gui", b"FOz"),
+        ("g", 11, "overwrite", "zz", None, b"z", None, None, False, False, "gui", None),
+        ("g", 12, "insert", "eof", None, b"z", None, None, False, False, "gui", None),
+        ("g", 13, "overwrite", "0", "q", b"z", None, None, False, False, "gui", None),
+        ("g", 14, "insert", "0", None, None, "nowhere", None, False, False, "cli", None),
+        ("g", 15, "overwrite", "eof", "2", b"z", None, None, False, False, "cli", None),
+        ("g", 16, "insert", "3000000000", None, b"z", None, None, False, False, "cli", None),
+        ("g", 17, "overwrite", "9223372036854775807", None, b"z", None, None, True, False, "gui", None),
+        ("g", 18, "overwrite", "-9223372036854775808", "9223372036854775807", b"z", None, None, True, False, "gui", None),
     ]
     commands = frame([r[:-1] for r in rows], schema)
     got = {r.seq: r for r in E.edit_results(blobs, E.payload_join(commands, blobs)).collect()}
@@ -96,6 +106,7 @@ def test_write_commands(frame):
         content = got[row[1]].content
         assert (None if content is None else bytes(content)) == row[-1], row
     assert got[7].error and got[8].error is None
+    assert all((r[-1] is None) == (got[r[1]].error is not None) for r in rows)
 
 
 def test_run_window_is_bounded(frame):
@@ -105,3 +116,23 @@ def test_run_window_is_bounded(frame):
     assert plan.count() == 50
     islands = E.edit_islands(E.last_edit_wins(edits))
     assert islands.select(F.countDistinct("island")).first()[0] == 50
+
+
+def test_offsets_at_the_ends_of_the_range_fail_no_job(frame):
+    ends = (0, 2**63 - 1, -(2**63), 3 * 10**9, -3 * 10**9, 2**31)
+    table = frame([(a, b) for a in ends for b in ends], "a long, b long").withColumn("c", F.lit(b"abc"))
+    a, b, c, d = F.col("a"), F.col("b"), F.col("c"), F.lit(b"xy")
+    forms = [
+        B.byte_range(c, a, b), B.byte_range(c, a, None), B.byte_range(c, a, b, "gui")["bytes"], B.byte_page(c, a),
+        B.overwrite_at(c, a, d), B.overwrite_at(c, a, d, append_zero=True),
+        B.overwrite_at(c, a, d, append_zero=True, dialect="gui")["content"],
+        B.overwrite_range(c, a, b, d, append_zero=True), B.overwrite_range(c, a, b, d, dialect="gui")["content"],
+        B.insert_at(c, a, d), B.insert_at(c, a, d, dialect="gui"), B.insert_range(c, a, b, d),
+        B.patch_hex(c, a, F.lit("FF"))["content"], B.read_bytes_padded(c, a, 4),
+    ]
+    rows = table.select("a", "b", *[f.alias(f"f{i}") for i, f in enumerate(forms)]).collect()
+    assert len(rows) == len(ends) ** 2
+    whole = next(r for r in rows if r.a == 0 and r.b == 2**63 - 1)
+    assert bytes(whole.f0) == bytes(whole.f1) == bytes(whole.f2) == b"abc"
+    far = next(r for r in rows if r.a == 3 * 10**9 and r.b == 0)
+    assert far.f5 is None and far.f9 is None and bytes(far.f10) == b"abcxy"

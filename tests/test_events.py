@@ -63,7 +63,9 @@ def bursts(rows, gap):
 
 
 @pytest.mark.parametrize("gap", [1, 5, 10, 50])
-def test_debounce(frame, gap):
+@pytest.mark.parametrize("stretch", [2, 4096])
+def test_debounce(frame, monkeypatch, gap, stretch):
+    monkeypatch.setattr(E, "STRETCH", stretch)
     rng = random.Random(gap)
     rows = [(i, rng.randrange(-200, 800), rng.choice("aab"), rng.choice(("create", "modify")), rng.choice((None, "data"))) for i in range(150)]
     got = E.debounce(frame(rows, SCHEMA), gap).collect()
@@ -144,6 +146,18 @@ def test_actions(frame, tmp_path):
     assert not list(out.glob("*.part"))
 
 
+def test_an_unknown_scheme_is_a_row_and_actions_run_once(frame, tmp_path):
+    (tmp_path / "a").write_text("x")
+    steps = [("nosuch://h/a", str(tmp_path / "b"), "copy"), (str(tmp_path / "a"), str(tmp_path / "c"), "move")]
+    report = writers.run_actions(plan(frame, steps), dry_run=False)
+    for _ in range(2):  # a second action on the report only reads it
+        rows = {r.effect: r for r in report.collect()}
+        assert not rows["copy"].done and rows["copy"].error and rows["move"].done
+    # an attempt after a lost one finds the file moved already
+    again = writers.run_actions(plan(frame, steps[1:]), dry_run=False).first()
+    assert again.done and again.error is None
+
+
 def test_a_failing_action_is_a_row(frame, tmp_path):
     (tmp_path / "f").write_text("f")
     (tmp_path / "blocked").write_text("a file, not a folder")

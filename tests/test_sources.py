@@ -74,6 +74,22 @@ def test_scan_directory(spark, tree):
     assert not {p for p in by_path if p.startswith(("vendor", "skip", "node_modules", ".git/")) or p in ("app.exe", "Cargo.lock", "bad.txt")}
 
 
+def test_a_directorys_own_ignore_file_and_global_ignores(spark, tmp_path):
+    for name in ("a.py", "b.py", "c.py", "docs/d.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(ADDRESS)
+    (tmp_path / ".git").mkdir()
+    (tmp_path / scans.IGNORE_FILE).write_text("# mine\n b.py \n\ndocs/\n")
+
+    def found(**options):
+        rows = scans.scan_directory(spark, str(tmp_path), scans.ScanOptions(**options)).collect()
+        return {(r.location.path, r.git_ignored) for r in rows}
+
+    assert found() == {("a.py", False), ("c.py", False)}
+    assert found(scan_ignore=("c.py",), global_ignores=("a.*",)) == {("a.py", True)}
+    assert {p for p, _ in found(ignore_file=None)} == {"a.py", "b.py", "c.py", "docs/d.py"}
+
+
 def test_coverage_needs_a_repository(spark, tmp_path):
     (tmp_path / ".env").write_text(ADDRESS)
     (tmp_path / ".gitignore").write_text(".env\n")
