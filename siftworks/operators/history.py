@@ -11,6 +11,7 @@ from siftworks.functions.paths import AUTO_IGNORES, is_env_file, path_ignored, p
 from siftworks.functions.rules import Rule
 from siftworks.operators.findings import as_findings, commit_location
 from siftworks.operators.match import match_rules
+from siftworks.operators.ranking import ranked
 
 
 def walk_order(commits: DataFrame) -> DataFrame:
@@ -18,6 +19,11 @@ def walk_order(commits: DataFrame) -> DataFrame:
     return commits.orderBy("repo", "commit_pos")
 
 
+def walk_rank(commits: DataFrame) -> DataFrame:
+    """``walk_order`` as a column: the 1-based ``rank`` of a commit in its repository, for results that are not kept in order."""
+    return ranked(commits, ["repo"], F.floor(F.col("commit_pos") / F.lit(1 << 16)), ["commit_pos", "hash"])
+
+
 def skip_merges(commits: DataFrame) -> DataFrame:
     return commits.filter(F.col("parent_count") <= 1)
 

@@ -76,6 +76,11 @@ def _case(selector: str, choices: tuple[str, ...]) -> str:
     return f"CASE {selector} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices)) + " END"
 
 
+def planted_text(key: str) -> str:
+    """SQL for a text with a line for one of the rules, chosen by the row's key."""
+    return f"text || chr(10) || {_case(f'{key} % {len(PLANTED)}', PLANTED)}"
+
+
 PLANT = _case(f"doc_id % {len(PLANTED)}", PLANTED)
 EXCUSE = _case(f"doc_id % {len(EXCUSED)}", EXCUSED)
 PLANTED_TEXT = f"text || chr(10) || {PLANT}"
@@ -112,7 +117,10 @@ EVENT_DETAIL = (
     "CASE event_id % 7 WHEN 0 THEN 'name_from' WHEN 1 THEN 'name_to' WHEN 2 THEN 'name_both' WHEN 3 THEN 'name_other' "
     "ELSE 'name_any' END END"
 )
-EVENT_PATH = "'u' || (user_id % 20) || '/f' || (event_id % 5)"
+EVENT_PATH = "'u' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '/sub' ELSE '' END || '/f' || (event_id % 5)"
+
+# Offsets of single-byte edits: from the start, and for some blobs across the border of a stretch.
+EDIT_OFFSET = "event_id % 512 + CASE WHEN user_id % 7 = 0 THEN 65280 ELSE 0 END"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -197,6 +205,6 @@ def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         F.expr("'d' || user_id").alias("path"),
         F.col("event_id").alias("seq"),
-        F.expr("event_id % 512").alias("offset"),
+        F.expr(EDIT_OFFSET).alias("offset"),
         F.expr("CAST(floor(value) AS BIGINT) % 256").cast("smallint").alias("byte"),
     )

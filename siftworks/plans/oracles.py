@@ -73,12 +73,20 @@ _HIGH = [r for r in default_rules() if r.severity in LEVELS[2:]]
 
 ORACLES["scan_documents"] = _scan(_DOCS, "doc_id")
 ORACLES["scan_pages"] = _scan("SELECT page_id, html AS text FROM pages", "page_id")
-ORACLES["scan_conversations"] = _scan("SELECT conv_id, turn, text FROM conversations", "conv_id, turn")
-ORACLES["scan_benchmark"] = _scan("SELECT item_id, text FROM benchmark", "item_id")
+ORACLES["scan_conversations"] = _scan(
+    f"SELECT conv_id, turn, {derive.planted_text('conv_id')} AS text FROM conversations", "conv_id, turn"
+)
+ORACLES["scan_benchmark"] = _scan(f"SELECT item_id, {derive.planted_text('item_id')} AS text FROM benchmark", "item_id")
 ORACLES["scan_planted_all_rules"] = _scan(_PLANTED, "doc_id", env="true")
 ORACLES["scan_redacted"] = _scan(_PLANTED, "doc_id")
 ORACLES["scan_unredacted"] = _scan(_PLANTED, "doc_id", redact=False)
-ORACLES["scan_custom_rule"] = _scan(_DOCS, "doc_id", [Rule("custom-0", "", "HIGH", registry.CUSTOM_PATTERN)])
+_CUSTOM = [Rule("custom-0", "HIGH", registry.CUSTOM_PATTERN)]
+ORACLES["scan_custom_rule"] = _scan(_DOCS, "doc_id", _CUSTOM)
+ORACLES["scan_default_and_custom_rules"] = _scan(_PLANTED, "doc_id", [*default_rules(), *_CUSTOM])
+ORACLES["scan_directory"] = _scan(
+    f"""SELECT lang || '/d' || doc_id || '.py' AS path, {derive.PLANTED_TEXT} AS text FROM documents
+    WHERE lang <> 'fr' AND doc_id <> 7""", "path"
+)
 ORACLES["scan_no_infra"] = _scan(
     _PLANTED, "doc_id", [r for r in default_rules() if not r.name.startswith("infra-") and r.name != "user-dir-path"]
 )
@@ -235,6 +243,9 @@ def _history(redact: bool, dedup: bool, where: str = "true") -> str:
 ORACLES["history_findings"] = _history(True, False)
 ORACLES["history_dedup_redacted"] = _history(True, True)
 ORACLES["history_dedup_raw"] = _history(False, True, "file NOT LIKE 'vendor/%' AND file NOT LIKE '%/fr.py'")
+ORACLES["walk_order"] = f"""
+    SELECT repo, hash, commit_pos, row_number() OVER (PARTITION BY repo ORDER BY commit_pos, hash) AS rank
+    FROM (SELECT source AS repo, {derive.COMMIT_HASH} AS hash, -doc_id AS commit_pos FROM documents)"""
 ORACLES["skip_merges"] = f"""
     SELECT source AS repo, left({derive.COMMIT_HASH}, 8) AS short_hash, -doc_id AS commit_pos,
            coalesce({derive.SUMMARY}, '') AS summary
@@ -348,6 +359,8 @@ ORACLES["id3v1_trailer"] = f"""
     SELECT doc_id, true AS is_tag, source AS title, lang AS artist, 'album ' || (doc_id % 9) AS album, '2024' AS year,
            '' AS comment, CAST(doc_id % 140 AS INTEGER) AS genre_code, coalesce(genre, 'Unknown') AS genre
     FROM documents LEFT JOIN (VALUES {_GENRES}) AS g(code, genre) ON doc_id % 140 = code"""
+ORACLES["copied_files"] = """
+    SELECT 'd' || doc_id || '.txt' AS path, true AS done, sha256(text) AS sha256 FROM documents"""
 ORACLES["verify_copies"] = f"""
     SELECT path, sha256(unhex(h)) AS source_sha256,
            sha256(unhex(CASE WHEN left(h, 4) = 'FFD8' THEN substr(h, 9) ELSE h END)) AS copy_sha256,
@@ -453,15 +466,17 @@ ORACLES["edit_results"] = f"""
         f", doc_id AS seq, {_EDIT_ERROR} AS error",
     )})"""
 _EDITS = """
-    SELECT 'd' || user_id AS path, event_id % 512 AS "offset",
+    SELECT 'd' || user_id AS path, """ + derive.EDIT_OFFSET + """ AS "offset",
            CAST(arg_max(CAST(floor(value) AS BIGINT) % 256, event_id) AS SMALLINT) AS byte
     FROM events GROUP BY ALL"""
 ORACLES["last_edit_wins"] = _EDITS
 _ISLANDS = f"""
     SELECT *, "offset" - row_number() OVER (PARTITION BY path ORDER BY "offset") AS island FROM ({_EDITS})"""
 ORACLES["edit_islands"] = f"""
-    SELECT path, CAST(0 AS BIGINT) AS stretch, island, min("offset") AS start, count(*) AS length
-    FROM ({_ISLANDS}) GROUP BY path, island"""
+    SELECT path, stretch, island, min("offset") AS start, count(*) AS length
+    FROM (SELECT *, "offset" - row_number() OVER (PARTITION BY path, stretch ORDER BY "offset") AS island
+          FROM (SELECT *, "offset" // 65536 AS stretch FROM ({_EDITS})))
+    GROUP BY path, stretch, island"""
 _RUNS = f"""
     SELECT path, min("offset") AS start, count(*) AS length,
            string_agg(printf('%02X', byte), '' ORDER BY "offset") AS bytes_hex
@@ -499,7 +514,8 @@ ORACLES["event_filter"] = f"SELECT seq, path, kind, kind_detail FROM ({_EVENTS})
 ORACLES["event_filter_coarse"] = f"""
     SELECT seq, path, kind, kind_detail FROM ({_EVENTS}) WHERE kind IN ('modify', 'remove')"""
 ORACLES["recursive_flag"] = f"""
-    SELECT seq, starts_with(path, 'u1/') OR path = 'u2/f3' AS shallow, starts_with(path, 'u1/') OR path = 'u2/f3' AS recursive
+    SELECT seq, (starts_with(path, 'u1/') AND NOT contains(path, '/sub/')) OR path = 'u2/f3' AS shallow,
+           starts_with(path, 'u1/') OR path = 'u2/f3' AS recursive
     FROM ({_EVENTS})"""
 
 

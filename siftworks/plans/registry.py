@@ -19,6 +19,7 @@ from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
 from siftworks.session import staged, work_dir
 from siftworks.sources import readers, writers
+from siftworks.sources.trees import open_filesystem
 from siftworks.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +61,14 @@ def scan_pages(spark, sf_dir):
 @query
 def scan_conversations(spark, sf_dir):
     turns = derive.table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    turns = turns.withColumn("text", F.expr(derive.planted_text("conv_id")))
     return scan_text(turns, default_rules()).select("conv_id", "turn", "line_no", *SHOWN)
 
 
 @query
 def scan_benchmark(spark, sf_dir):
     items = derive.table(spark, sf_dir, "benchmark", "item_id", "text")
+    items = items.withColumn("text", F.expr(derive.planted_text("item_id")))
     return scan_text(items, default_rules()).select("item_id", "line_no", *SHOWN)
 
 
@@ -94,6 +97,57 @@ def scan_custom_rule(spark, sf_dir):
     return scan_text(docs, [user_rule(0, CUSTOM_PATTERN, spark)]).select("doc_id", "line_no", *SHOWN)
 
 
+@query
+def scan_default_and_custom_rules(spark, sf_dir):
+    rules = select_rules(patterns=[CUSTOM_PATTERN], spark=spark)
+    return scan_text(derive.planted(spark, sf_dir), rules).select("doc_id", "line_no", *SHOWN)
+
+
+def _as_files(texts: DataFrame, folder: str) -> None:
+    """Write ``(path, text)`` as files below a shared folder."""
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                files, place = open_filesystem(f"{folder}/{path}")
+                files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(place) as out:
+                    out.write(text.encode())
+            yield batch.select(["path"])
+
+    texts.select("path", "text").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+@query
+def scan_directory(spark, sf_dir):
+    """Documents as files of a folder with an ignore file of its own."""
+    folder = work_dir(spark, "tree")
+    docs = derive.planted(spark, sf_dir).join(derive.table(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
+    path = F.concat("lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    rules = spark.range(1).select(F.lit(scans.IGNORE_FILE).alias("path"), F.lit("# not these\nfr/\n\n d7.py \n").alias("text"))
+    _as_files(docs.select(path.alias("path"), "text").unionByName(rules), folder)
+    found = scans.scan_directory(spark, folder, scans.ScanOptions())
+    return found.select(
+        F.col("location.path").alias("path"), F.col("location.line_no").alias("line_no"), *SHOWN
+    )
+
+
+@query
+def copied_files(spark, sf_dir):
+    """Documents as files, copied by the monitor's copy action; the digests are those of the copies."""
+    folder = work_dir(spark, "copies")
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    _as_files(docs.select(path.alias("path"), "text"), f"{folder}/from")
+    pairs = docs.select(
+        F.concat(F.lit(f"{folder}/from/"), path).alias("source"), F.concat(F.lit(f"{folder}/to/"), path).alias("destination")
+    )
+    report = writers.copy_files(pairs)
+    read = readers.inventory(readers.read_tree(spark, f"{folder}/to"))
+    done = report.select(F.substring_index("destination", "/", -1).alias("path"), "done")
+    return done.join(read.select("path", "sha256"), "path", "left")
+
+
 @query
 def scan_no_infra(spark, sf_dir):
     docs = derive.planted(spark, sf_dir)
@@ -324,6 +378,12 @@ def history_dedup_raw(spark, sf_dir):
     return _history_shown(_history(spark, sf_dir, redact=False, ignore=("vendor",), scan_ignore=("fr.py",)))
 
 
+@query
+def walk_order(spark, sf_dir):
+    log = history.walk_order(history.walk_rank(derive.commits(spark, sf_dir)))
+    return log.select("repo", "hash", "commit_pos", "rank")
+
+
 @query
 def skip_merges(spark, sf_dir):
     log = history.walk_order(history.skip_merges(derive.commits(spark, sf_dir)))
