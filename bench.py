@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 ``BENCH_SF_DIR`` is the data folder, ``BENCH_CPUS`` the number of local cores.
-Every query runs twice in a warm session and the faster run counts.
+Every query runs once to warm up and then twice; the faster run counts, and ``spread`` is the
+slower run over the faster one.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ def main() -> None:
     with contextlib.redirect_stdout(sys.stderr):
         spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
         QUERIES["scan_benchmark"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds = {}
+        seconds, spread = {}, {}
         for name in names:
             runs = []
-            for _ in range(2):
+            for _ in range(3):
                 start = time.perf_counter()
                 QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
                 runs.append(time.perf_counter() - start)
-            seconds[name] = round(min(runs), 3)
+            seconds[name] = round(min(runs[1:]), 3)
+            spread[name] = round(max(runs[1:]) / min(runs[1:]), 2)
         spark.stop()
     print(
         json.dumps(
@@ -50,6 +52,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "spread": spread,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": cpus,
             }
