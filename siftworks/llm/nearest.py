@@ -155,39 +155,45 @@ def _probed(queries: DataFrame, index: DataFrame, bits: int, dim: int) -> DataFr
     return full.select("qkey", "vec_id", "wanted", "embedding").mapInArrow(measure, "qkey long, vec_id long, score double")
 
 
-def _packed(rows: DataFrame, dim: int, id_name: str, size: int) -> DataFrame:
-    """Blocks of up to ``size`` rows, each one row of bytes."""
+def _one_row(part: pa.RecordBatch | pa.Table, dim: int, id_name: str) -> dict[str, pa.Array]:
+    """Many rows as one row of bytes."""
+    return {
+        "ids": pa.array([part.column(id_name).to_numpy().tobytes()], pa.binary()),
+        "codes": pa.array([b"".join(part.column("code").to_pylist())], pa.binary()),
+        "vectors": pa.array([_matrix(part.column("embedding"), dim).tobytes()], pa.binary()),
+    }
+
+
+def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
+    """Blocks of up to ``size`` neighbouring rows, each one row of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, size):
-                part = batch.slice(a, size)
-                yield pa.record_batch(
-                    {
-                        "ids": pa.array([part.column(id_name).to_numpy().tobytes()], pa.binary()),
-                        "codes": pa.array([b"".join(part.column("code").to_pylist())], pa.binary()),
-                        "vectors": pa.array([_matrix(part.column("embedding"), dim).tobytes()], pa.binary()),
-                    }
-                )
+                yield pa.record_batch(_one_row(batch.slice(a, size), dim, "vec_id"))
+
+    return rows.select("vec_id", "code", "embedding").mapInArrow(run, "ids binary, codes binary, vectors binary")
+
 
-    return rows.select(id_name, "code", "embedding").mapInArrow(run, "ids binary, codes binary, vectors binary")
+def _lots(queries: DataFrame, dim: int, lots: int) -> DataFrame:
+    """Queries dealt into numbered lots by hash, each one row of bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"lot": table.column("lot")[:1], **{f"q_{k}": v for k, v in _one_row(table, dim, "qkey").items()}})
+
+    dealt = queries.select("qkey", "code", "embedding", F.pmod(F.xxhash64("qkey"), F.lit(lots)).alias("lot"))
+    return dealt.groupBy("lot").applyInArrow(run, "lot long, q_ids binary, q_codes binary, q_vectors binary")
 
 
 def _scanned(queries: DataFrame, index: DataFrame, radius: int, dim: int, k: int) -> DataFrame:
     """``(qkey, vec_id, score)``: per block the best of the codes within the wide radius of each query's."""
-    count = queries.count()
-    if not count:
+    lots = -(-queries.count() // LOT)
+    if not lots:
         return queries.sparkSession.createDataFrame([], "qkey long, vec_id long, score double")
-    lots = -(-count // LOT)
-    parts = queries.repartition(lots, F.xxhash64("qkey"))
-    left = _packed(parts, dim, "qkey", LOT).select(
-        F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors")
-    )
-    numbered = staged(left.withColumn("lot", F.monotonically_increasing_id()), "lots")
-    numbers = [r["lot"] for r in numbered.select("lot").collect()]
     spread = max(2 * index.sparkSession.sparkContext.defaultParallelism, 1)
-    blocks = _packed(index.repartition(spread, "vec_id"), dim, "vec_id", BLOCK)
-    pairs = blocks.withColumn("lot", F.explode(F.array(*[F.lit(x) for x in numbers]))).join(numbered, "lot")
+    blocks = _blocks(index.repartition(spread, "vec_id"), dim, BLOCK)
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))
+    pairs = blocks.withColumn("lot", F.explode(numbers)).join(_lots(queries, dim, lots), "lot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
