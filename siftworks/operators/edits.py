@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftworks.functions import bytes as B
-from siftworks.operators.blobs import hex_rows, offset_text, row_cells, row_gutter
+from siftworks.operators.blobs import CHUNK_BYTES, blob_chunks, offset_text, row_cells, row_gutter
 
 # Offsets are grouped in stretches of this many bytes while runs are found.
 STRETCH = 1 << 16
@@ -104,17 +104,28 @@ def edits_preview(blobs: DataFrame, edits: DataFrame) -> DataFrame:
     """Hex rows with pending edits laid over the stored bytes.
 
     ``hex`` shows the edited cells and ``dirty`` their positions in the row; the
-    gutter shows the stored bytes.  Edits are grouped per 16-byte row before the
-    join, so rows join one to one on (path, row) and only raw bytes are shuffled.
+    gutter shows the stored bytes.  Edits are grouped per piece of a blob and meet it
+    before it is cut into rows, so a shuffle moves pieces and not rows.
     """
     row = F.col("offset") - F.pmod("offset", F.lit(B.ROW_BYTES))
-    per_row = (
+    cells = F.map_from_entries(F.collect_list(F.struct("cell", "digits")))
+    per_piece = (
         edits.select("path", row.alias("row_offset"), F.pmod("offset", F.lit(B.ROW_BYTES)).cast("int").alias("cell"),
                      F.lpad(F.hex(F.col("byte").cast("long")), 2, "0").alias("digits"))
         .groupBy("path", "row_offset")
-        .agg(F.map_from_entries(F.collect_list(F.struct("cell", "digits"))).alias("_cells"))
+        .agg(cells.alias("_cells"))
+        .groupBy("path", (F.col("row_offset") - F.pmod("row_offset", F.lit(CHUNK_BYTES))).alias("base"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("row_offset", "_cells"))).alias("_rows"))
+    )
+    pieces = blob_chunks(blobs.select("path", "content")).join(per_piece, ["path", "base"], "left")
+    steps = F.sequence(F.lit(0), F.octet_length("piece") - 1, F.lit(B.ROW_BYTES))
+    cut = pieces.select("path", "base", "piece", "_rows", F.explode(steps).alias("_step"))
+    rows = cut.select(
+        "path",
+        (F.col("base") + F.col("_step")).alias("row_offset"),
+        F.substring("piece", F.col("_step") + 1, F.lit(B.ROW_BYTES)).alias("row_bytes"),
+        F.try_element_at("_rows", F.col("base") + F.col("_step")).alias("_cells"),
     )
-    rows = hex_rows(blobs.select("path", "content")).join(per_row, ["path", "row_offset"], "left")
     stored, row_bytes = row_cells(F.col("row_bytes")), F.col("row_bytes")
     edited = F.transform(stored, lambda cell, i: F.coalesce(F.try_element_at("_cells", i), cell))
     inside = F.filter(F.map_keys("_cells"), lambda i: i < F.octet_length(row_bytes))
