@@ -417,6 +417,14 @@ ORACLES["overwrite_range_gui"] = _result(
 ORACLES["insert_at_cli"] = _result(_INSERT_AT)
 ORACLES["insert_at_gui"] = _result(f"{_cut('0', 'p')} || {_T} || {_cut('p')}")
 ORACLES["insert_range"] = _result(f"{_cut('0', 'lo')} || {_ZEROS.format('lo - n')} || {_TURNED} || {_cut('lo')}", _BOTH)
+# offsets 0 and the lowest number are the start, the others lie beyond what a value can hold
+_AT_START = "doc_id % 4 IN (0, 1)"
+ORACLES["offsets_at_the_ends"] = f"""
+    SELECT path, md5(CASE WHEN doc_id % 4 = 0 AND doc_id % 3 <> 1 THEN h ELSE '' END) AS range_md5,
+           CASE WHEN {_AT_START} THEN md5(d || h) END AS inserted_md5,
+           CASE WHEN {_AT_START} THEN md5({_cut('0', 'least(m, n)', 'd')} || {_cut('least(m, n)')} || {_cut('least(m, n)', None, 'd')}) END
+               AS written_md5
+    FROM (SELECT *, hex(encode('DATA' || doc_id)) AS d, length(hex(encode('DATA' || doc_id))) // 2 AS m FROM ({_BLOBS}))"""
 ORACLES["append_eof"] = _result(f"h || {_T}")
 ORACLES["reverse_bytes"] = _result(
     "array_to_string(list_reverse(regexp_extract_all(h, '..')), '')", _BLOBS

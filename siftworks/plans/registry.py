@@ -667,6 +667,22 @@ def patch_hex(spark, sf_dir):
     )
 
 
+@query
+def offsets_at_the_ends(spark, sf_dir):
+    """Offsets at both ends of their range and beyond any value's length: nothing overflows, what fits no value is NULL."""
+    blobs = derive.blobs(spark, sf_dir).withColumn("data", F.expr(_DATA))
+    far, low, high = "3000000000L", "-9223372036854775807L - 1", "9223372036854775807L"
+    start = F.expr(f"CASE doc_id % 4 WHEN 0 THEN 0L WHEN 1 THEN {low} WHEN 2 THEN {far} ELSE {high} END")
+    end = F.expr(f"CASE doc_id % 3 WHEN 0 THEN {high} WHEN 1 THEN {low} ELSE {far} END")
+    content, data = F.col("content"), F.col("data")
+    return blobs.select(
+        "path",
+        _digest(B.byte_range(content, start, end)).alias("range_md5"),
+        _digest(B.insert_at(content, start, data)).alias("inserted_md5"),
+        _digest(B.overwrite_at(content, start, data, append_zero=True)).alias("written_md5"),
+    )
+
+
 @query
 def edit_results(spark, sf_dir):
     """Write commands with offsets as typed, in both dialects, some as ranges, some with data taken from another blob."""
