@@ -16,7 +16,16 @@ import pyarrow as pa
 SEGMENT = 1 << 20  # bytes hashed at once; a longer word is hashed in one piece nevertheless
 SHINGLE = 5
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_tables: dict = {}
+
+
+class _Tables(dict):
+    """Tables that each process builds for itself; functions sent to tasks leave them behind."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_tables = _Tables()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

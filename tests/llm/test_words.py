@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from siftworks.llm import words as W
 
@@ -42,3 +43,8 @@ def test_short_texts_are_one_shingle():
     sets = list(W.row_shingles(pa.array(["a b", "a b", "a b c d e f", "", None])))
     assert [len(x) for x in sets] == [1, 1, 2, 0, 0]
     assert np.array_equal(sets[0], sets[1])
+
+
+def test_functions_sent_to_tasks_leave_tables_behind():
+    W.word_hashes(pa.array(["some words"]))
+    assert len(cloudpickle.dumps(W.word_hashes)) < 100_000
