@@ -27,9 +27,16 @@ from siftworks.llm.words import _INVERSE, _BASE, SEGMENT, _powers, mixed, slices
 SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 8
+SLICE = 2 << 20  # bytes of text encoded at once
 _NEVER = np.int32(2**31 - 1)
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of several ranges one after another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
 class Codec:
     """A SentencePiece BPE model as arrays."""
 
@@ -54,6 +61,11 @@ class Codec:
         self.breaks = not any("\n" in p for p in self.ids)
         # symbols: pieces by id, then unknown characters
         self.unknown = count
+        self.points = np.full(0x110000, -1, np.int32)
+        for name, i in self.ids.items():
+            if len(name) == 1 and name != SPACE:
+                self.points[ord(name)] = i
+        self.points[ord(" ")] = self.ids[SPACE]
         order = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
         pairs = [
             (self.ids[p[:k]], self.ids[p[k:]], order[sp.get_score(i)], i)
@@ -167,30 +179,27 @@ class Codec:
         begin = np.cumsum(size) - size
         lengths = size[kind]
         borders = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(borders[-1]) - np.repeat(borders[:-1] - begin[kind], lengths)
-        return ids[at].astype(np.int32), borders[first]
+        return ids[_ranges(begin[kind], lengths)].astype(np.int32), borders[first]
 
     def _symbols(self, raw, start, end, leads, word, sample) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The characters of the sampled stretches as symbols; stretches that differ in dropout only are read once."""
         _, lone, again = np.unique(word[sample], return_index=True, return_inverse=True)
-        lists, others, numbers = [], [], {}
-        for k in sample[lone].tolist():
-            text = raw[start[k] : end[k]].tobytes().decode("utf-8", "surrogateescape")
-            own = [self.ids[SPACE]] if leads[k] else []
-            for c in text:
-                i = self.ids.get(SPACE if c == " " else c) if c != SPACE else None
-                if i is None:
-                    i = numbers.setdefault(c, self.unknown + len(numbers))
-                    if i == self.unknown + len(others):
-                        others.append(c.encode("utf-8", "surrogateescape"))
-                own.append(i)
-            lists.append(np.array(own, np.int64))
-        sizes = np.array([len(x) for x in lists])
-        flat, begin = np.concatenate(lists), np.cumsum(sizes) - sizes
+        lone = sample[lone]
+        data = raw[_ranges(start[lone], end[lone] - start[lone])]
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[np.cumsum(end[lone] - start[lone])]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        flat = self.points[points].astype(np.int64)
+        strange = np.flatnonzero(flat < 0)
+        unknown, number = np.unique(points[strange], return_inverse=True)
+        flat[strange] = self.unknown + number
+        begin = np.concatenate([[0], ends[:-1]])
+        leading = np.flatnonzero(leads[lone])
+        flat = np.insert(flat, begin[leading], self.ids[SPACE])
+        sizes = ends - begin + leads[lone].astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
         lengths = sizes[again]
-        total = np.cumsum(lengths)
-        at = np.arange(total[-1]) - np.repeat(total - lengths - begin[again], lengths)
-        return flat[at], np.repeat(np.arange(len(sample)), lengths), others
+        others = [chr(c).encode() for c in unknown.tolist()]
+        return flat[_ranges(begin[again], lengths)], np.repeat(np.arange(len(sample)), lengths), others
 
     def _with_bytes(self, symbols: np.ndarray, owner: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as byte pieces."""
@@ -234,7 +243,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, dropout, seed, variants)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", SLICE):
                 names = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
                 ids, borders = codec.encode(batch.column("text"), mixed(names.astype(np.int64).view(np.uint64)))
                 rows = [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)]
