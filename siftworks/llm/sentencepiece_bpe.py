@@ -2,13 +2,13 @@
 
 Encoding follows the model's own agenda: of all neighbouring symbols whose
 concatenation is a piece, the best scored pair merges first, the leftmost of equals. With
-dropout a candidate merge is left out by a keyed hash of the seed, the
-place's variant, the merge's start and the piece, so a text has many
+dropout every candidate merge is left out by a keyed hash of its own, of the seed, the document, the stretch's
+place in it, the merge's start in the stretch and the piece, so a text has many
 segmentations, each of them reproducible, and a task that runs again gives the same one.
 
 No piece holds a word border inside (checked when a model is loaded), so a text is cut
-into stretches of spaces with the word after them, and the agendas of all different stretches of a
-slice run side by side in arrays. Characters that are no piece become byte pieces; so does the
+into stretches of spaces with the word after them, and the agendas of many stretches run side by side in
+arrays. Every stretch has an agenda of its own. Characters that are no piece become byte pieces; so does the
 character that stands for a space in pieces, which keeps decoding exact.
 """
 
@@ -22,28 +22,23 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftworks.llm.words import _INVERSE, _BASE, SEGMENT, _powers, mixed, slices, text_bytes
+from siftworks.llm.words import mixed, slices, text_bytes
 
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 8
 SLICE = 2 << 20  # bytes of text encoded at once
+ROUND = 1 << 17  # bytes whose agendas run side by side
 _NEVER = np.int32(2**31 - 1)
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The places of several ranges one after another."""
-    ends = np.cumsum(length)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
-
-
 class Codec:
     """A SentencePiece BPE model as arrays."""
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = 0, variants: int | None = None):
+        # ``variants`` once bounded the segmentations of a word; it is taken from older callers and bounds nothing
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         count = sp.get_piece_size()
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout else 1
+        self.dropout, self.seed = dropout, seed
         names = [sp.id_to_piece(i) for i in range(count)]
         self.byte_ids = np.zeros(256, np.int64)
         self.decoded = [name.replace(SPACE, " ").encode() for name in names]
@@ -110,17 +105,20 @@ class Codec:
         stretch's dropout. Gives the symbols left, with their stretches.
         """
         place = np.arange(len(symbols)) - np.searchsorted(owner, owner)
+        rank, piece = np.full(len(symbols), _NEVER), np.zeros(len(symbols), np.int64)
+        fresh = np.arange(len(symbols))  # symbols that have not met the one behind them yet
         done = []
         while len(symbols):
-            same = owner[1:] == owner[:-1]
-            slot = self._find(np.where(same, symbols[:-1] << 32 | symbols[1:], -2))
-            rank, piece = np.where(same, self.rank[slot], _NEVER), self.piece[slot]
+            rank[fresh] = _NEVER
+            fresh = fresh[fresh + 1 < len(symbols)]
+            fresh = fresh[owner[fresh] == owner[fresh + 1]]
+            slot = self._find(symbols[fresh] << 32 | symbols[fresh + 1])
+            rank[fresh], piece[fresh] = self.rank[slot], self.piece[slot]
             if self.dropout:
-                can = np.flatnonzero(rank != _NEVER)
+                can = fresh[rank[fresh] != _NEVER]
                 chance = mixed(keys[owner[can]] ^ mixed((place[can].astype(np.uint64) << np.uint64(32)) | piece[can].astype(np.uint64)))
                 rank[can[chance < np.uint64(int(self.dropout * 2**64))]] = _NEVER
-            rank = np.append(rank, _NEVER)
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(symbols)))
             live = np.repeat(best != _NEVER, size)
@@ -128,14 +126,17 @@ class Codec:
             hit = np.flatnonzero(live & (rank == np.repeat(best, size)))
             hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])] if len(hit) else hit
             symbols[hit] = piece[hit]
+            changed = np.zeros(len(symbols), bool)
+            changed[hit] = changed[hit - 1] = True
             live[hit + 1] = False
-            symbols, owner, place = symbols[live], owner[live], place[live]
+            symbols, owner, place, rank, piece, changed = (x[live] for x in (symbols, owner, place, rank, piece, changed))
+            fresh = np.flatnonzero(changed)
         symbols, owner = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (symbols, owner)
         order = np.argsort(owner, kind="stable")
         return symbols[order], owner[order]
 
-    def _stretches(self, raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the stretches of all rows."""
+    def _stretches(self, raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Starts of the stretches of all rows."""
         space = raw == 0x20
         begin = space.copy()
         begin[1:] &= ~space[:-1]
@@ -144,62 +145,44 @@ class Codec:
             begin |= line
             begin[1:] |= line[:-1] & ~space[1:]
         begin[rows[:-1][rows[:-1] < len(raw)]] = True
-        start = np.flatnonzero(begin)
-        end = np.append(start[1:], len(raw))
-        value = mixed(np.arange(1, 257, dtype=np.uint64))
-        hashes, lo = np.zeros(len(start), np.uint64), 0
-        while lo < len(start):
-            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SEGMENT, "right")))
-            a, b = start[lo], end[hi - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(value[raw[a:b]] * _powers(_BASE, b - a), out=total[1:])
-            hashes[lo:hi] = mixed((total[end[lo:hi] - a] - total[start[lo:hi] - a]) * _powers(_INVERSE, b - a)[start[lo:hi] - a])
-            lo = hi
-        return start, hashes
+        return np.flatnonzero(begin)
 
     def encode(self, column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the border of each row in them; ``keys`` tell rows apart for dropout."""
         raw, rows = text_bytes(column)
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
-        start, hashes = self._stretches(raw, rows)
+        start = self._stretches(raw, rows)
+        end = np.append(start[1:], len(raw))
         first = np.searchsorted(start, rows)
         row = np.repeat(np.arange(len(rows) - 1), np.diff(first))
-        leads = np.zeros(len(start), np.uint64)
+        leads = np.zeros(len(start), np.int64)
         leads[first[:-1][np.diff(rows) > 0]] = 1  # the model puts a space before each text
-        chosen = mixed(keys[row] ^ mixed(np.arange(len(start), dtype=np.uint64) - first[:-1][row].astype(np.uint64)))
-        variant = (chosen ^ np.uint64(self.seed)) % np.uint64(self.variants)
-        word = mixed(hashes + leads)
-        _, sample, kind = np.unique(word ^ mixed(variant + np.uint64(11)), return_index=True, return_inverse=True)
-        symbols, owner, others = self._symbols(raw, start, np.append(start[1:], len(raw)), leads, word, sample)
-        drop_keys = mixed(word[sample] ^ mixed(variant[sample] ^ mixed(np.array([self.seed], np.uint64))))
-        left, owner = self.merge(symbols, owner, drop_keys)
-        ids, owner = self._with_bytes(left, owner, others)
-        size = np.bincount(owner, minlength=len(sample))
-        begin = np.cumsum(size) - size
-        lengths = size[kind]
-        borders = np.concatenate([[0], np.cumsum(lengths)])
-        return ids[_ranges(begin[kind], lengths)].astype(np.int32), borders[first]
+        place = np.arange(len(start)) - first[:-1][row]
+        drop_keys = mixed(mixed(keys[row] ^ mixed(place.astype(np.uint64))) ^ mixed(np.array([self.seed], np.int64).view(np.uint64)))
+        ids, lengths, lo = [], [], 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + ROUND, "right")))
+            symbols, owner, others = self._symbols(raw, start[lo:hi], end[lo:hi], leads[lo:hi])
+            left, owner = self.merge(symbols, owner, drop_keys[lo:hi])
+            left, owner = self._with_bytes(left, owner, others)
+            ids.append(left.astype(np.int32))
+            lengths.append(np.bincount(owner, minlength=hi - lo))
+            lo = hi
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])[first]
 
-    def _symbols(self, raw, start, end, leads, word, sample) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The characters of the sampled stretches as symbols; stretches that differ in dropout only are read once."""
-        _, lone, again = np.unique(word[sample], return_index=True, return_inverse=True)
-        lone = sample[lone]
-        data = raw[_ranges(start[lone], end[lone] - start[lone])]
-        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[np.cumsum(end[lone] - start[lone])]
+    def _symbols(self, raw, start, end, leads) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The characters of neighbouring stretches as symbols, with their stretches, and the unknown ones."""
+        data = raw[start[0] : end[-1]]
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[end - start[0]]
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         flat = self.points[points].astype(np.int64)
         strange = np.flatnonzero(flat < 0)
         unknown, number = np.unique(points[strange], return_inverse=True)
         flat[strange] = self.unknown + number
         begin = np.concatenate([[0], ends[:-1]])
-        leading = np.flatnonzero(leads[lone])
-        flat = np.insert(flat, begin[leading], self.ids[SPACE])
-        sizes = ends - begin + leads[lone].astype(np.int64)
-        begin = np.cumsum(sizes) - sizes
-        lengths = sizes[again]
-        others = [chr(c).encode() for c in unknown.tolist()]
-        return flat[_ranges(begin[again], lengths)], np.repeat(np.arange(len(sample)), lengths), others
+        flat = np.insert(flat, begin[np.flatnonzero(leads)], self.ids[SPACE])
+        return flat, np.repeat(np.arange(len(start)), ends - begin + leads), [chr(c).encode() for c in unknown.tolist()]
 
     def _with_bytes(self, symbols: np.ndarray, owner: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as byte pieces."""
@@ -229,7 +212,7 @@ def read_model(path: str) -> bytes:
 
 
 def encode_texts(
-    docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS
+    docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = 0, variants: int | None = None
 ) -> DataFrame:
     """``(doc_id, ids, n_ids, lossless)`` for each row of ``docs (doc_id, text)``; ``lossless``: the ids decode to the text.
 

@@ -57,6 +57,23 @@ def test_dropped_share_follows_the_rate():
     assert 0.5 < whole < 0.85
 
 
+def test_every_place_draws_at_the_default_rate():
+    n = 40_000
+    ids = rows(B.Codec(MODEL), [" th" * n])[0]
+    share = {piece: ids.count(PUBLIC.piece_to_id(piece)) / n for piece in ("▁t", "t", "th")}
+    # a space with t merges first: made and the whole left out, left out with t and h, left out and the whole too
+    assert abs(share["▁t"] - 0.9 * 0.1) < 0.006
+    assert abs(share["t"] - 0.1 * 0.1) < 0.003
+    assert abs(share["th"] - 0.1 * 0.9 * 0.1) < 0.003
+
+
+def test_rounds_leave_ids_alone(monkeypatch):
+    values = ["and another thing\n\nabout é🎉 the nation " * 20, "", None, "then"]
+    whole = rows(DROPPED, values)
+    monkeypatch.setattr(B, "ROUND", 7)
+    assert rows(DROPPED, values) == whole
+
+
 def test_table(frame):
     encoded = B.encode_texts(docs(frame), MODEL)
     assert all(r["lossless"] for r in encoded.collect())
