@@ -68,6 +68,28 @@ def test_spans_and_coverage(spark, frame):
     assert part["n_matched"] == same < part["n_words"]
 
 
+ENDS = {
+    "MIT": ("THE SOFTWARE IS", "OTHER DEALINGS IN THE SOFTWARE"),
+    "ISC": ("THE SOFTWARE IS", "PERFORMANCE OF THIS SOFTWARE"),
+    "BSD-2-Clause": ("THIS SOFTWARE IS", "POSSIBILITY OF SUCH DAMAGE"),
+    "GPL-3.0-header": ("You should have", "www.gnu.org/licenses"),
+}
+
+
+def test_whole_licences_and_their_first_parts(spark, frame):
+    rows = []
+    for k, (name, (later, last)) in enumerate(ENDS.items()):
+        text = L.TEMPLATES[name]
+        rows += [(k, f"ban ker {text} ban ker"), (10 + k, f"ban ker {text[: text.index(later)]} ban ker")]
+    found = L.scan_licenses(docs(frame, rows), L.template_table(spark), 0.2).collect()
+    for k, (name, (_, last)) in enumerate(ENDS.items()):
+        (whole,) = [r for r in found if (r["doc_id"], r["template"]) == (k, name)]
+        text = rows[2 * k][1]
+        assert (whole["coverage"], whole["start"], whole["end"]) == (1.0, 8, text.index(last) + len(last))
+        (part,) = [r for r in found if (r["doc_id"], r["template"]) == (10 + k, name)]
+        assert 0.2 <= part["coverage"] < 1
+
+
 def test_lots_and_empty_tables(spark, frame):
     table = docs(frame, [(1, " ".join(L.TEMPLATES.values()))])
     columns = ("template", "n_matched", "start", "end")
