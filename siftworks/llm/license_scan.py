@@ -6,6 +6,10 @@ Templates and texts are words of letters and digits, A-Z as a-z. Of every ``WIND
 templates are an inverted index. Shared fingerprints on nearby diagonals (place in the text less place in
 the template) are one occurrence; it is aligned with the template in a band around them,
 the most matching words in order being the best alignment.
+
+A few changed words leave a short template no run in common with a text. Templates of up to ``SHORT`` words are
+therefore also looked for wherever a stretch of text holds enough of their words, in any order: every stretch of a template's
+length and twice what it may gain is aligned if it can reach the asked coverage.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,7 @@ from siftworks.llm.words import _letters, hashed_runs, ngram_hashes, slices, tex
 GRAM, WINDOW = 3, 2
 LEAST_COVERAGE = 0.75
 BAND_SHARE = 4  # a template of n words may gain or lose n / 4
+SHORT = 64
 LOT = 2000
 _SIEVE = 18
 
@@ -174,9 +180,60 @@ class _Templates:
                 self.index[int(grams[place])].append((k, place))
         self.sieve = np.zeros(1 << _SIEVE, bool)
         self.sieve[np.array(list(self.index), np.uint64) >> np.uint64(64 - _SIEVE)] = True
+        # short templates by each of their words: sorted pairs of a word and a template that holds it
+        pairs = [(w, k) for k, words in enumerate(self.words) if len(words) <= SHORT for w in set(words.tolist())]
+        pairs.sort()
+        self.keys, self.holders = np.array([w for w, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
+        self.word_sieve = np.zeros(1 << _SIEVE, bool)
+        self.word_sieve[self.keys >> np.uint64(64 - _SIEVE)] = True
 
     def find(self, words: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
         """``(template, words matched, first place, last place)`` of every occurrence in a text's words."""
+        found = self._by_runs(words, least)
+        return found + self._by_words(words, least, found)
+
+    def _by_words(self, words: np.ndarray, least: float, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Occurrences of short templates beside the known ones, which need no run of words in common."""
+        places = np.flatnonzero(self.word_sieve[words >> np.uint64(64 - _SIEVE)])
+        lo, hi = (np.searchsorted(self.keys, words[places], side) for side in ("left", "right"))
+        size = hi - lo
+        holders = self.holders[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]
+        places = np.repeat(places, size)
+        need = np.array([max(1, ceil(least * len(w) - 1e-9)) for w in self.words], np.int64)
+        found = []
+        for k in np.flatnonzero(np.bincount(holders, minlength=len(need)) >= need).tolist():
+            taken = sorted((first, last) for j, _, first, last in known if j == k)
+            ends = [0, *(last + 1 for _, last in taken)], [*(first for first, _ in taken), len(words)]
+            own = places[holders == k]
+            free = [(a, b) for a, b in zip(*ends, strict=True) if a < b]
+            while free:
+                a, b = free.pop()
+                match = self._best(k, words, own[np.searchsorted(own, a) : np.searchsorted(own, b)], int(need[k]), b)
+                if match:
+                    found.append((k, len(match), match[0], match[-1]))
+                    free += [(a, match[0]), (match[-1] + 1, b)]
+        return found
+
+    def _best(self, k: int, words: np.ndarray, own: np.ndarray, need: int, end: int) -> list[int]:
+        """The best of the first stretch with an occurrence and those that begin within it, or nothing."""
+        template, best = self.words[k], []
+        slack = max(2, len(template) // BAND_SHARE)
+        width = len(template) + 2 * slack
+        for at in own[: max(0, len(own) - need + 1)][own[need - 1 :] - own[: max(0, len(own) - need + 1)] < width].tolist():
+            if best and at > best[-1]:
+                break
+            text = words[at : min(at + width, end)]
+            if np.isin(template, text).sum() < need:
+                continue
+            every = aligned(template, text, -len(template), len(template) + width)
+            close = tight(every)  # words behind changed ones stay where the coverage needs them
+            match = [at + x for x in (close if len(close) >= need else every)]
+            if len(match) >= need and (not best or (-len(match), match[-1] - match[0]) < (-len(best), best[-1] - best[0])):
+                best = match
+        return best
+
+    def _by_runs(self, words: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
+        """Occurrences that share a fingerprint with their template."""
         grams = ngram_hashes(words, GRAM)
         if not self.sieve[grams >> np.uint64(64 - _SIEVE)].any():
             return []
@@ -204,8 +261,8 @@ def scan_licenses(
 
     ``coverage`` is the share of the template's words matched in order; ``start`` and
     ``end`` are code points around the matched words. ``docs (doc_id, text)`` and ``templates (name, text)`` may have other
-    columns, which are ignored. Null and empty texts match nothing, nor do wordless templates; a template shorter
-    than ``GRAM`` words must be the whole text. Null ids are kept, repeated rows repeat their
+    columns, which are ignored. Null and empty texts match nothing, nor do wordless templates. Occurrences
+    of one template found by words alone do not overlap its others. Null ids are kept, repeated rows repeat their
     matches, one text may match several templates at one place. Empty tables give an empty result. Templates are broadcast in lots
     of bounded number, each with a pass of its own over the texts.
     """

@@ -90,6 +90,35 @@ def test_whole_licences_and_their_first_parts(spark, frame):
         assert 0.2 <= part["coverage"] < 1
 
 
+def test_short_templates_need_no_run_of_words(spark, frame):
+    table = L.template_table(spark, L.TEMPLATES | {"one": "Unlicense", "two": "Public Domain"})
+    apache, mit = "Licensed under Apache License 2.0", "Released under MIT License"
+    rows = [(1, f"ban ker {apache}. ban"), (2, f"ban {mit}, ker"), (3, f"{mit}. {mit}.\n{L.TEMPLATES['MIT-notice']} {mit}")]
+    rows += [(4, "ban public domain ker unlicense ban"), (5, "the license under ban released ker mit the license")]
+    found = L.scan_licenses(docs(frame, DOCS + rows), table)
+    spans = got(found, "doc_id", "template", "coverage", "start", "end")
+    assert [r for r in spans if r[0] == 1] == [(1, "Apache-2.0-notice", 0.75, 8, 8 + len(apache))]
+    assert [r for r in spans if r[0] == 2] == [(2, "MIT-notice", 0.8, 4, 4 + len(mit))]
+    places = [(0, 0.8), (28, 0.8), (56, 1.0), (88, 0.8)]
+    assert [(r[3], r[2]) for r in spans if r[0] == 3] == [(a, c) for c, a in sorted((c, a) for a, c in places)]
+    assert [r[1:] for r in spans if r[0] == 4] == [("one", 1.0, 22, 31), ("two", 1.0, 4, 17)]
+    assert {r[0] for r in spans} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_every_short_occurrence_is_found(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(rng.randint(1, L.SHORT))]
+    known = L._Templates([("t", " ".join(words))])
+    own, lead, text = known.words[0], rng.randrange(50), list(known.words[0])
+    for i in rng.sample(range(len(own)), len(own) // 4):
+        text[i] = 7 + i
+    text = np.array([1] * lead + text + [2] * 30, np.uint64)
+    ((_, matched, first, last),) = known.find(text, 0.75)
+    assert matched == len(own) - len(own) // 4
+    assert lead <= first <= last < lead + len(own)
+
+
 def test_lots_and_empty_tables(spark, frame):
     table = docs(frame, [(1, " ".join(L.TEMPLATES.values()))])
     columns = ("template", "n_matched", "start", "end")
