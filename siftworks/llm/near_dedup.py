@@ -4,7 +4,7 @@
    shingles, a MinHash signature cut into bands, and an odd sketch: every
    MinHash sample flips one bit of a bitmap, so that the population count of
    the XOR of two bitmaps tells how many samples differ.
-2. Documents with one digest are one node, known by its smallest id.
+2. Documents with one digest are one node, known by a number of its own; texts that share an id are different nodes.
 3. Nodes that share a band hash are tied to the smallest node of that bucket; a
    bucket of two is first verified by its sketches. The connected parts are clusters.
 4. Each cluster is compared in blocks of bounded size within tasks. Pairs whose
@@ -37,7 +37,7 @@ SAMPLES = BANDS * DEPTH
 SKETCH_BITS = 512
 BLOCK = 512
 
-SIGNED = "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
 
 
 def farthest(percent: int = PERCENT, samples: int = SAMPLES, bits: int = SKETCH_BITS, z: float = 4.0) -> int:
@@ -81,6 +81,12 @@ def digest(shingles: np.ndarray) -> bytes:
     return both.tobytes()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a hash of the text, which tells the texts of one id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def signed(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Digest, sketch and band hashes of each whole text."""
 
@@ -93,6 +99,7 @@ def signed(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id"),
+                        "text_key": batch.column("text_key"),
                         "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                         "digest": pa.array([digest(x) if len(x) else None for x in sets], pa.binary()),
                         "sketch": long_lists([none if x is None else odd_sketch(x) for x in least]),
@@ -100,7 +107,7 @@ def signed(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return _keyed(docs).mapInArrow(run, SIGNED)
 
 
 def clusters(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +219,7 @@ def _piece(count: str, salt: int) -> F.Column:
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The shingle sets of nodes, from the texts; a text of the same id with another digest is not the node's."""
+    """The shingle sets of nodes, from the texts; a text of the same id and key with another digest is not the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -222,9 +229,7 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 kept = batch.drop_columns(["text", "digest"]).filter(pa.array(own))
                 yield kept.append_column("shingles", long_lists([x for x, ok in zip(sets, own, strict=True) if ok]))
 
-    rows = nodes.join(
-        docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node"
-    ).select("node", "cluster", "pieces", "digest", "sketch", "text")
+    rows = nodes.join(_keyed(docs), ["doc_id", "text_key"]).select("node", "cluster", "pieces", "digest", "sketch", "text")
     schema = "node long, cluster long, pieces long, sketch array<long>, shingles array<long>"
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
@@ -296,18 +301,21 @@ def near_duplicates(
     """
     rows = staged(signed(docs, n), "signed")
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    best = F.min_by(F.struct("text_key", "sketch", "bands"), "doc_id").alias("best")
     nodes = staged(
         named.groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sketch", "bands"), "doc_id").alias("best"))
-        .select("digest", "node", "best.sketch", "best.bands"),
+        .agg(F.min("doc_id").alias("doc_id"), best)
+        .select("digest", F.monotonically_increasing_id().alias("node"), "doc_id", "best.text_key", "best.sketch", "best.bands"),
         "nodes",
     )
     labels = _labels(docs.where("doc_id IS NOT NULL"), nodes, percent, n, block)
-    classes = (
-        nodes.select("digest", "node")
+    members = (
+        nodes.select("digest", "node", "doc_id")
         .join(labels, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("component_id"))
+        .select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
     )
+    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = members.join(least, "component").select("digest", "component_id")
     return (
         rows.join(classes, "digest", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

@@ -66,6 +66,15 @@ def test_near_copies_in_blocks_against_all_pairs(frame):
     check(frame, rows, block=8)
 
 
+def test_texts_of_one_id_are_compared_as_their_own(frame):
+    bases = [prose(60 + k, 100) for k in range(6)]
+    # all base texts have id 7, and each has near copies and an exact one with ids of their own
+    rows = [(7, b) for b in bases] + [(20 + k, edited(b, k, 0.02)) for k, b in enumerate(bases)]
+    rows += [(k, edited(b, 9 + k, 0.02)) for k, b in enumerate(bases[:3])] + [(30, bases[5]), (7, bases[1])]
+    check(frame, rows)
+    check(frame, rows, block=2)
+
+
 def test_components_of_a_chain(frame):
     edges = frame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert got(components(edges, "a", "b"), "node", "component") == sorted(
