@@ -11,6 +11,7 @@ from siftworks.llm import quality, toxicity
 from siftworks.llm.decontamination import contained_items
 from siftworks.llm.html_text import extract_text
 from siftworks.llm.license_scan import scan_licenses, template_table
+from siftworks.llm.merkle import leaf_digest, merkle_manifest
 from siftworks.llm.near_dedup import near_duplicates
 from siftworks.llm.nearest import nearest
 from siftworks.llm.secret_ledger import scan_versions, spans_text
@@ -76,6 +77,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second row, by the checksum of its id, shows a leaf whose text has lost its line breaks."""
+    cut = leaf_digest(changed={"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, cut)
+    rows = merkle_manifest(_table(spark, sf_dir, "documents"), presented=tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op8_secret_scans,
         op9_minhash_near_dedup,
         op10_sharding,
+        op11_merkle_manifest,
     )
 }
 
@@ -122,7 +132,69 @@ def _shingles_sql(table: str, key: str) -> str:
     FROM (SELECT {key}, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"""
 
 
+def _field_sql(name: str, value: str | None = None) -> str:
+    value = f"CAST({value or name} AS VARCHAR)"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE octet_length(encode({value})) || ':' || {value} END"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [_field_sql(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    return f"sha256({' || '.join([*fields, _field_sql('text', text)])})"
+
+
+# CRC-32 of a short ASCII text, bit by bit: the fixed start value, polynomial and final mask
+_CRC_SQL = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """All nodes above ``base(tree, pos, digest, n)``, and for each node the run that it belongs to."""
+    return f"""
+{name} AS (
+    SELECT tree, 0 AS level, pos, digest, n FROM {base}
+    UNION ALL
+    SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+    FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3),
+{name}_runs AS (SELECT tree, level, pos // 3 AS run, list(digest ORDER BY pos) AS digests FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """From ``start(row_id, tree, pos, proof, own)`` up to the root of the tree, sibling by sibling."""
+    return f"""
+{name} AS (
+    SELECT row_id, tree, 0 AS level, pos, proof, own FROM {start}
+    UNION ALL
+    SELECT w.row_id, w.tree, w.level + 1, w.pos // 3,
+        w.proof || array_to_string(digests[:w.pos % 3] || digests[w.pos % 3 + 2:], ''),
+        sha256(array_to_string(digests[:w.pos % 3], '') || own || array_to_string(digests[w.pos % 3 + 2:], ''))
+    FROM {name} w JOIN {tree}_runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.pos // 3),
+{name}_end AS (SELECT row_id, arg_max(proof, level) AS proof, arg_max(own, level) AS own FROM {name} GROUP BY row_id)"""
+
+
+_CUT = "replace(text, chr(10), '')"
+_MERKLE = f"""
+WITH RECURSIVE made AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_leaf_sql(_CUT)} END AS cut FROM documents),
+leaves AS (
+    SELECT *, leaf AS digest, coalesce(cut, leaf) AS own, '' AS proof, count(*) OVER (PARTITION BY tree) AS n,
+        row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row_id) - 1 AS pos FROM made),
+{_tree_sql("nodes", "leaves")},
+groups AS (
+    SELECT '' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n
+    FROM nodes WHERE n = 1),
+{_tree_sql("above", "groups")},
+{_walk_sql("ways", "nodes", "leaves")},
+middle AS (
+    SELECT l.row_id, '' AS tree, g.pos, e.proof, e.own FROM leaves l JOIN ways_end e USING (row_id) JOIN groups g ON g.name = l.tree),
+{_walk_sql("outer_ways", "above", "middle")}
+SELECT doc_id, leaf, g.digest AS subroot, t.digest AS root, sha256(e.proof) AS proof_sha256, e.own AS folded_root,
+    e.own = t.digest AS verified
+FROM leaves l JOIN outer_ways_end e USING (row_id) JOIN groups g ON g.name = l.tree, (SELECT digest FROM above WHERE n = 1) t"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": _MERKLE,
     "op4_benchmark_decontamination": f"""
 WITH items AS ({_shingles_sql("benchmark", "item_id")}), docs AS ({_shingles_sql("documents", "doc_id")}),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
