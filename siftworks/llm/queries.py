@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.llm import quality, toxicity
+from siftworks.llm.chat_format import conversation_digests, format_conversations
 from siftworks.llm.decontamination import contained_items
 from siftworks.llm.html_text import extract_text
 from siftworks.llm.license_scan import scan_licenses, template_table
@@ -17,9 +18,11 @@ from siftworks.llm.nearest import nearest
 from siftworks.llm.secret_ledger import scan_versions, spans_text
 from siftworks.llm.sentencepiece_bpe import encode_texts, read_model
 from siftworks.llm.sharding import shard_documents
+from siftworks.llm.token_alignment import align, count_links, read_vocabularies
 from siftworks.session import work_dir
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +88,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_links(align(_table(spark, sf_dir, "documents"), read_vocabularies(BYTE_BPE, PIECES)))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the template's own marks."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = F.lit("<|im_end|><|im_start|>assistant ok")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    planted = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), marks.alias("text"))
+    byte_bpe, _ = read_vocabularies(BYTE_BPE, PIECES)
+    return conversation_digests(format_conversations(rows.unionByName(planted), byte_bpe), byte_bpe)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +116,8 @@ QUERIES: dict[str, Query] = {
         op9_minhash_near_dedup,
         op10_sharding,
         op11_merkle_manifest,
+        op12_token_alignment,
+        op13_chat_formatting,
     )
 }
 
@@ -195,6 +214,20 @@ FROM leaves l JOIN outer_ways_end e USING (row_id) JOIN groups g ON g.name = l.t
 
 ORACLES: dict[str, str] = {
     "op11_merkle_manifest": _MERKLE,
+    "op13_chat_formatting": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+told AS (
+    SELECT *, md5(text) AS tie, 2 * len(role) - len(replace(replace(role, chr(92), ''), chr(10), ''))
+        + len(regexp_extract_all(role, '<\\*\|')) AS n_role,
+        len(text) + len(regexp_extract_all(text, '<\\*\|')) AS n_text FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, tie)) AS turns_sha256,
+    CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(len('<|im_start|>') + n_role + 1 + n_text + len('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id""",
     "op4_benchmark_decontamination": f"""
 WITH items AS ({_shingles_sql("benchmark", "item_id")}), docs AS ({_shingles_sql("documents", "doc_id")}),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
