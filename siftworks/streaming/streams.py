@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from siftworks.functions.rules import Rule
 from siftworks.operators.events import MonitorOptions, plan_actions, select_events
 from siftworks.operators.match import scan_text
+from siftworks.session import staged
 from siftworks.sources.writers import run_actions
+from siftworks.streaming.bursts import debounce_live, start_live
 
 # later than any event
 END = "9999-12-31 00:00:00"
@@ -72,6 +74,7 @@ def monitor(
     checkpoint: str,
     dry_run: bool = True,
     debounced: bool = False,
+    live: bool = False,
     delay: str = "10 seconds",
     available_now: bool = False,
 ) -> StreamingQuery:
@@ -79,19 +82,30 @@ def monitor(
 
     With ``debounced`` only the last event of a burst on a path is acted on, where
     ``options.debounce_ms`` is the pause that ends a burst and ``delay`` how late
-    events may arrive.
+    events may arrive.  With ``live`` bursts are ended by the clock instead, so that the
+    last one on a quiet folder is acted on once the pause has gone by; such a query runs until it is stopped.
 
     Each micro-batch writes its report to its own folder ``out/batch=<id>``, so a
     batch that is run again after a failure replaces its report.  A failing action
     is a row with an error (see ``failed_actions``) and does not stop the stream.
     """
     options.check()
+    if live and (available_now or not debounced):
+        raise ValueError("live goes with debounced and runs until it is stopped")
     selected = select_events(events, options)
-    if debounced:
+    if live:
+        bursts = debounce_live(selected, f"{options.debounce_ms} milliseconds")
+        selected = bursts.select(F.col("last_ts").alias("ts"), "path", "kind", "kind_detail", F.col("last_order").alias("seq"))
+    elif debounced:
         bursts = debounce_stream(selected, f"{options.debounce_ms} milliseconds", delay=delay)
         selected = bursts.select(F.col("last_ts").alias("ts"), "path", "kind", "kind_detail", F.col("last_order").alias("seq"))
 
     def act(batch: DataFrame, batch_id: int) -> None:
+        if live:
+            # the plan below uses the batch twice, but its timers may run once only
+            batch = staged(batch, "bursts")
+            if batch.isEmpty():
+                return
         ordered = batch.withColumn("ts_micros", F.unix_micros(F.col("ts").cast("timestamp")))
         plan = plan_actions(ordered, options.action, options.dest)
         folder = f"{out}/batch={batch_id}"
@@ -101,6 +115,8 @@ def monitor(
             run_actions(plan, dry_run=False, report=folder)
 
     writer = selected.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
+    if live:
+        return start_live(writer.trigger(processingTime=f"{options.debounce_ms} milliseconds"), events.sparkSession)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
