@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.functions.paths import AUTO_IGNORES, is_binary_ext, is_env_file, path_ignored, path_scan_ignored
@@ -58,20 +58,27 @@ def scan_tree(files: DataFrame, options: ScanOptions, *keep: str) -> DataFrame:
     return scan_files(wanted, options, *keep)
 
 
-def scan_delta(base: DataFrame, new: DataFrame, options: ScanOptions, *, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Findings on lines that are new against a base version, with their new line number.
+def delta_wanted(options: ScanOptions) -> Column:
+    """Is the path one whose new lines are scanned? As for history, binary extensions are not skipped."""
+    path = F.col("path")
+    return ~path_ignored(path, options.all_ignores) & ~path_scan_ignored(path, options.scan_ignore, "history")
 
-    As for history, binary extensions are not skipped here.
-    """
+
+def scan_added(lines: DataFrame, options: ScanOptions, *extra: str) -> DataFrame:
+    """Findings on new lines ``(path, line_no, line, <extra>)``."""
     path = F.col("path")
-    wanted = ~path_ignored(path, options.all_ignores) & ~path_scan_ignored(path, options.scan_ignore, "history")
-    lines = delta_lines(base.filter(wanted), new.filter(wanted), keys=keys)
     trimmed = lines.withColumn("line", F.rtrim("line", F.lit("\r")))
     matches = match_rules(trimmed, options.rules, env=is_env_file(path), redact=options.redact)
-    extra = [k for k in keys if k != "path"]
     return as_findings(matches, file_location(path, F.col("line_no")), *extra)
 
 
+def scan_delta(base: DataFrame, new: DataFrame, options: ScanOptions, *, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Findings on lines that are new against a base version, with their new line number."""
+    wanted = delta_wanted(options)
+    lines = delta_lines(base.filter(wanted), new.filter(wanted), keys=keys)
+    return scan_added(lines, options, *[k for k in keys if k != "path"])
+
+
 def scan_repository(
     files: DataFrame,
     options: ScanOptions,
