@@ -579,3 +579,8 @@ ORACLES["monitor_dry_run"] = f"""
     SELECT arg_max(path, (ts_micros, seq)) AS source, '/out/' || string_split(path, '/')[-1] AS destination,
            'copy' AS effect, false AS done
     FROM ({_WATCHED}) GROUP BY string_split(path, '/')[-1]"""
+
+ORACLES["watched_folder"] = ORACLES["manifest_diff"]
+ORACLES["debounce_live"] = _bursts(registry.GAP_MICROS)
+ORACLES["stream_dedup_ledger"] = ORACLES["stream_dedup"]
+ORACLES["scan_version_stream"] = ORACLES["scan_delta"]

@@ -18,9 +18,9 @@ from siftworks.operators.blobs import hex_dump, scan_strings, strings_filter, st
 from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
 from siftworks.session import staged, work_dir
-from siftworks.sources import readers, writers
+from siftworks.sources import readers, watch, writers
 from siftworks.sources.trees import open_filesystem
-from siftworks.streaming import streams
+from siftworks.streaming import bursts, ledgers, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -912,3 +912,96 @@ def monitor_dry_run(spark, sf_dir):
     )
     running.awaitTermination()
     return spark.read.parquet(folder + "/out").select("source", "destination", "effect", "done")
+
+
+@query
+def watched_folder(spark, sf_dir):
+    """Documents as files of a watched folder; then some move, some change, some go and the pages arrive.
+
+    The same changes as in ``manifest_diff``, but seen by inventories of a real folder and read as a stream that stops
+    after the first version and goes on from its checkpoint.
+    """
+    folder = work_dir(spark, "watched")
+    root, store, events_out = f"{folder}/root", f"{folder}/store", f"{folder}/events"
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    _as_files(docs.select(name.alias("path"), "text"), root)
+
+    def arrive() -> DataFrame:
+        stream = watch.watch_events(spark, store)
+        streams.write_available(stream, events_out, f"{folder}/checkpoint")
+        return spark.read.schema(stream.schema).parquet(events_out)
+
+    watch.take_inventory(spark, [root], store)
+    arrive()
+    moved = F.col("lang") == "de"
+    stays = docs.filter("source <> 'src3'")
+    archive = stays.filter(moved).select(F.concat(F.lit(f"{root}/"), name).alias("source"), F.concat(F.lit(f"{root}/archive/"), name).alias("destination"), F.lit("move").alias("effect"))
+    gone = docs.filter("source = 'src3'").select(F.concat(F.lit(f"{root}/"), name).alias("source"), F.lit(None).cast("string").alias("destination"), F.lit("delete").alias("effect"))
+    steps = archive.unionByName(gone).select("*", F.lit(0).alias("ts_micros"), F.lit(0).alias("seq"))
+    writers.run_actions(steps, dry_run=False)
+    changed = stays.filter("lang = 'es'").select(name.alias("path"), F.concat("text", F.lit("!")).alias("text"))
+    pages = derive.table(spark, sf_dir, "pages", "page_id", "html")
+    arrived = pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("text"))
+    _as_files(changed.unionByName(arrived), root)
+    watch.take_inventory(spark, [root], store)
+    below = lambda column: F.substring(column, len(root) + 2, 1 << 20)
+    return arrive().select("kind", "kind_detail", below("path").alias("path"), below("from_path").alias("from_path"))
+
+
+@query
+def debounce_live(spark, sf_dir):
+    """The bursts of ``debounce_stream`` without an event that ends them: the last one of every path comes by the clock."""
+    log = derive.as_file_events(_stream(spark, sf_dir, "events")).withColumn("ts", F.timestamp_micros("ts_micros"))
+    found = bursts.debounce_live(log, "4 hours", wait="2 seconds")
+    folder = work_dir(spark, "debounce-live")
+    writer = found.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/checkpoint")
+    bursts.stop_when_drained(bursts.start_live(writer, spark))
+    done = spark.read.schema(found.schema).parquet(folder + "/out")
+    return done.select(
+        "path", F.unix_micros("first_ts").alias("first_micros"), F.unix_micros("last_ts").alias("last_micros"),
+        "events", "kind", "kind_detail", "last_order",
+    )
+
+
+BATCHES = 4
+
+
+def _in_batches(df: DataFrame, purpose: str) -> DataFrame:
+    """A table as a stream that arrives in a few micro-batches, one file each."""
+    folder = work_dir(df.sparkSession, purpose)
+    df.repartition(BATCHES).write.parquet(folder)
+    return streams.event_source(df.sparkSession, folder, df.schema, maxFilesPerTrigger="1")
+
+
+@query
+def stream_dedup_ledger(spark, sf_dir):
+    """Each token once per file over a log that arrives in several batches, with times spread over years and out of order."""
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    texts = docs.select(
+        F.timestamp_seconds(F.col("doc_id") * 86_400 % 100_000_000).alias("ts"),
+        F.expr(derive.COMMIT_FILE).alias("file"), F.expr(derive.PLANTED_TEXT).alias("text"),
+    )
+    found = streams.scan_stream(_in_batches(texts, "log"), default_rules())
+    folder = work_dir(spark, "dedup-ledger")
+    ledgers.dedup_with_ledger(
+        found, ledger=folder + "/ledger", out=folder + "/out", checkpoint=folder + "/checkpoint", available_now=True
+    ).awaitTermination()
+    return ledgers.read_batches(spark, folder + "/out", found.schema).select("rule_name", "file", "matched_text")
+
+
+@query
+def scan_version_stream(spark, sf_dir):
+    """Two versions of every document arrive one after the other, the query starting anew for the second: its new lines only."""
+    folder = work_dir(spark, "version-stream")
+    options = scans.ScanOptions()
+    schema = "path string, version long, text string"
+    for version, texts in enumerate(_versions(spark, sf_dir)):
+        arrived = texts.select("path", F.lit(version).cast("long").alias("version"), "text")
+        arrived.write.mode("append").parquet(folder + "/in")
+        source = streams.event_source(spark, folder + "/in", schema)
+        ledgers.scan_version_stream(
+            source, options, state=folder + "/state", out=folder + "/out", checkpoint=folder + "/checkpoint", available_now=True
+        ).awaitTermination()
+    found = ledgers.read_findings(spark, folder + "/out", options)
+    return found.where("version = 1").select("location.path", "location.line_no", *SHOWN)

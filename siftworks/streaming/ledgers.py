@@ -155,6 +155,12 @@ def read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
+def read_findings(spark: SparkSession, out: str, options: ScanOptions) -> DataFrame:
+    """What ``scan_version_stream`` has written, with the ``version`` of each finding."""
+    empty = spark.createDataFrame([], "path string, version long, line_no int, line string")
+    return read_batches(spark, out, scan_added(empty, options, "version").schema)
+
+
 _HASHES = "version long, hashes array<long>"
 
 

@@ -89,8 +89,7 @@ def stream_versions(spark, folder, schema, at, options, **settings):
     ledgers.scan_version_stream(
         source, options, state=f"{at}/state", out=f"{at}/out", checkpoint=f"{at}/check", available_now=True, **settings
     ).awaitTermination()
-    found = scans.scan_added(spark.createDataFrame([], "path string, version long, line_no int, line string"), options, "version")
-    return ledgers.read_batches(spark, f"{at}/out", found.schema)
+    return ledgers.read_findings(spark, f"{at}/out", options)
 
 
 @pytest.mark.parametrize("merge_every", [1, 50])
