@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftworks.session import staged
+
 
 def ranked(
     df: DataFrame,
@@ -42,3 +44,23 @@ def ranked(
         offsets = offsets.join(attach, list(keys), "left")
     joined = local.join(offsets, groups).withColumn(name, F.col("_local") + F.col("_before"))
     return joined.drop("_bucket", "_local", "_before")
+
+
+def ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """The same positions from one sort by ranges, for orders that no bucket follows; the sorted rows are stored once.
+
+    ``order`` must tell rows apart, or equal ones be interchangeable; nulls in ``keys`` are a group of their own.
+    """
+    sort = [*keys, *order]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    placed = staged(ranged, "ranges")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    parts = placed.groupBy(*keys, "_part").agg(F.min("_nth").alias("_first"), F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1
+    shifts = staged(parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), shift.alias("_shift")), "shifts")
+    same = F.col("_part") == F.col("_of_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = placed.join(shifts, same).withColumn(name, F.col("_nth") + F.col("_shift"))
+    return joined.select(*df.columns, name)

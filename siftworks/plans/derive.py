@@ -108,6 +108,13 @@ COMMIT_FILE = "CASE WHEN lang = 'es' THEN 'conf/.env' WHEN lang = 'de' THEN 'ven
 PARENTS = "CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END"
 SUMMARY = "CASE WHEN lang = 'fr' THEN NULL ELSE 'import ' || doc_id END"
 
+# A commit graph: four repositories, branches that leave commits behind, merges, parents out of the table, skewed clocks.
+GRAPH_REPO = "'r' || (doc_id % 4)"
+_FIRST_PARENT = "md5('commit ' || (doc_id - CASE WHEN doc_id % 11 = 3 THEN 8 ELSE 4 END))"
+_SECOND_PARENT = "md5('commit ' || (doc_id - 20))"
+GRAPH_TIME = "CAST(floor(doc_id / 3) AS BIGINT) + CASE WHEN doc_id % 17 = 2 THEN 10 ELSE 0 END"
+GRAPH_HEAD = "doc_id % 29 = 5"
+
 EVENT_KIND = (
     "CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'modify' "
     "WHEN 'error' THEN 'remove' ELSE 'access' END"
@@ -161,6 +168,19 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commit_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(repo, hash, parents, time, parent_count, summary)`` and the heads: some branches, and the last commit of every repository."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang").withColumn("repo", F.expr(GRAPH_REPO))
+    parents = F.expr(f"CASE WHEN doc_id % 7 = 0 THEN array({_FIRST_PARENT}, {_SECOND_PARENT}) ELSE array({_FIRST_PARENT}) END")
+    commits = docs.select(
+        "repo", F.expr(COMMIT_HASH).alias("hash"), parents.alias("parents"), F.expr(GRAPH_TIME).alias("time"),
+        F.size(parents).alias("parent_count"), F.expr(SUMMARY).alias("summary"),
+    )
+    last = docs.groupBy("repo").agg(F.max("doc_id").alias("doc_id"))
+    heads = docs.where(GRAPH_HEAD).select("repo", "doc_id").unionByName(last)
+    return commits, heads.select("repo", F.expr(COMMIT_HASH).alias("hash"))
+
+
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     lines = explode_lines(

@@ -584,3 +584,26 @@ ORACLES["watched_folder"] = ORACLES["manifest_diff"]
 ORACLES["debounce_live"] = _bursts(registry.GAP_MICROS)
 ORACLES["stream_dedup_ledger"] = ORACLES["stream_dedup"]
 ORACLES["scan_version_stream"] = ORACLES["scan_delta"]
+
+_GRAPH = f"""
+    c AS (SELECT doc_id, {derive.GRAPH_REPO} AS repo, {derive.COMMIT_HASH} AS hash, {derive.GRAPH_TIME} AS time FROM documents),
+    edges AS (
+        SELECT a.repo, a.hash AS child, b.hash AS parent, b.time AS parent_time FROM (
+            SELECT repo, hash, doc_id - CASE WHEN doc_id % 11 = 3 THEN 8 ELSE 4 END AS up FROM c
+            UNION SELECT repo, hash, doc_id - 20 FROM c WHERE doc_id % 7 = 0) a
+        JOIN c b ON a.repo = b.repo AND a.up = b.doc_id),
+    walk(repo, hash, depth, floor) AS (
+        SELECT repo, hash, 0, time FROM c
+        WHERE {derive.GRAPH_HEAD} OR doc_id IN (SELECT max(doc_id) FROM c GROUP BY repo)
+        UNION ALL
+        SELECT w.repo, e.parent, w.depth + 1, min(least(w.floor, e.parent_time))
+        FROM walk w JOIN edges e ON w.repo = e.repo AND w.hash = e.child GROUP BY w.repo, e.parent, w.depth + 1),
+    labels AS (SELECT repo, hash, max(depth) AS depth, min(floor) AS floor FROM walk GROUP BY repo, hash)"""
+ORACLES["walk_from_heads"] = f"""
+    WITH RECURSIVE {_GRAPH}
+    SELECT repo, hash, row_number() OVER (PARTITION BY repo ORDER BY floor DESC, depth, time DESC, hash) AS commit_pos
+    FROM labels JOIN c USING (repo, hash)"""
+ORACLES["history_from_heads"] = f"""
+    WITH RECURSIVE {_GRAPH}
+    SELECT labels.repo AS repo, file, count(*) AS lines, count(DISTINCT l.hash) AS commits
+    FROM labels JOIN ({_LOG_LINES}) l ON labels.hash = l.hash GROUP BY labels.repo, file"""

@@ -15,6 +15,7 @@ from siftworks.functions.severity import severity_rank
 from siftworks.functions.text import decode_utf8
 from siftworks.operators import coverage, delta, edits, events, findings, history
 from siftworks.operators.blobs import hex_dump, scan_strings, strings_filter, strings_shown, verify_copy
+from siftworks.operators.commit_graph import walk_from_heads as walk_heads
 from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
 from siftworks.session import staged, work_dir
@@ -384,6 +385,21 @@ def walk_order(spark, sf_dir):
     return log.select("repo", "hash", "commit_pos", "rank")
 
 
+@query
+def walk_from_heads(spark, sf_dir):
+    """Walk order of a commit graph from its heads; commits that no head reaches are not there."""
+    return walk_heads(*derive.commit_graph(spark, sf_dir)).select("repo", "hash", "commit_pos")
+
+
+@query
+def history_from_heads(spark, sf_dir):
+    """Added lines of the non-merge commits that a head reaches."""
+    commits = walk_heads(*derive.commit_graph(spark, sf_dir))
+    lines = derive.commit_lines(spark, sf_dir).drop("repo").join(commits.select("repo", "hash"), "hash")
+    found = history.history_lines(commits, lines)
+    return found.groupBy("repo", "file").agg(F.count("*").alias("lines"), F.countDistinct("hash").alias("commits"))
+
+
 @query
 def skip_merges(spark, sf_dir):
     log = history.walk_order(history.skip_merges(derive.commits(spark, sf_dir)))
