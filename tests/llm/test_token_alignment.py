@@ -81,6 +81,17 @@ def test_vocabularies_spell_their_texts():
     assert B.tokens.spell(B.encode(["naïve 🎉\n"])[0]).tobytes().decode() == " naïve 🎉\n"
 
 
+def test_both_engines_give_the_same_tokens():
+    """Every code point beside letters, digits, spaces and itself; a sample of three in a thousand, and all of the first plane's start."""
+    points = [*range(0x3100), *range(0x3100, 0xD800, 331), *range(0xE000, 0x110000, 331)]
+    for i in range(0, len(points), 2048):
+        texts = [f"a{c}b {c} 1{c}2 {c}{c}\n{c}.  {c}" for c in map(chr, points[i : i + 2048])]
+        slow = A.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(x.tolist() == y.ids for x, y in zip(A.encode(texts), slow, strict=True))
+    blank = "x" + " \n" * 400_000 + "y"
+    assert A.tokens.spell(A.encode([blank])[0]).tobytes().decode() == blank
+
+
 def test_products_against_dense_matrices():
     rng = np.random.default_rng(4)
     for _ in range(30):
