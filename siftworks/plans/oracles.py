@@ -607,3 +607,9 @@ ORACLES["history_from_heads"] = f"""
     WITH RECURSIVE {_GRAPH}
     SELECT labels.repo AS repo, file, count(*) AS lines, count(DISTINCT l.hash) AS commits
     FROM labels JOIN ({_LOG_LINES}) l ON labels.hash = l.hash GROUP BY labels.repo, file"""
+
+for _chunked, _name in (
+    ("apply_runs_chunks", "apply_runs"), ("byte_page_chunks", "byte_page"), ("byte_range_chunks", "byte_range_cli"),
+    ("lines_from_chunks", "lines_of_documents"), ("scan_strings_chunks", "scan_strings_documents"),
+):
+    ORACLES[_chunked] = ORACLES[_name]

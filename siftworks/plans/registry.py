@@ -13,13 +13,13 @@ from siftworks.functions.genres import genre_lookup
 from siftworks.functions.rules import default_rules, select_rules, user_rule
 from siftworks.functions.severity import severity_rank
 from siftworks.functions.text import decode_utf8
-from siftworks.operators import coverage, delta, edits, events, findings, history
-from siftworks.operators.blobs import hex_dump, scan_strings, strings_filter, strings_shown, verify_copy
+from siftworks.operators import coverage, delta, edits, events, findings, history, patches
+from siftworks.operators.blobs import blob_chunks, hex_dump, scan_strings, strings_filter, strings_shown, verify_copy
 from siftworks.operators.commit_graph import walk_from_heads as walk_heads
 from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
 from siftworks.session import staged, work_dir
-from siftworks.sources import readers, watch, writers
+from siftworks.sources import chunks, readers, trees, watch, writers
 from siftworks.sources.trees import open_filesystem
 from siftworks.streaming import bursts, ledgers, streams
 
@@ -490,6 +490,70 @@ def byte_page(spark, sf_dir):
     return blobs.select("path", F.hex(page).alias("page_hex"))
 
 
+def _blob_files(spark, sf_dir) -> DataFrame:
+    """Blobs as files of a folder: ``(root, path, length)`` with the document's number."""
+    folder = work_dir(spark, "blobs")
+    blobs = derive.blobs(spark, sf_dir)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                files, place = open_filesystem(f"{folder}/{path}")
+                files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(place) as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    blobs.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    listed = trees.walk_tree(spark, folder)
+    return listed.select("root", "path", "length", F.substring("path", 2, 20).cast("long").alias("doc_id"))
+
+
+CHUNK = 512  # far smaller than in use, so that texts cross many borders
+
+
+@query
+def byte_page_chunks(spark, sf_dir):
+    """Pages read from files, each by its own range."""
+    page = chunks.read_page(_blob_files(spark, sf_dir), F.expr("doc_id * 13 % 2000 - 100"), chunk=CHUNK)
+    return page.select("path", F.hex("content").alias("page_hex"))
+
+
+@query
+def byte_range_chunks(spark, sf_dir):
+    """Ranges read from files as the cli reads them from blobs."""
+    files = _blob_files(spark, sf_dir).join(_span(spark, sf_dir).select("path", "first", "last"), "path")
+    inner = chunks.range_bounds(F.col("length"), F.col("first"), F.col("last"))
+    to_end = chunks.range_bounds(F.col("length"), F.col("first"), None)
+    read = [
+        chunks.read_range(files.select("root", "path", "length", b["first"].alias("a"), b["last"].alias("b")), F.col("a"), F.col("b"), chunk=CHUNK)
+        for b in (inner, to_end)
+    ]
+    both = read[0].join(read[1].withColumnRenamed("content", "rest"), "path")
+    return both.select("path", B.hex_cells(F.col("content")).alias("cells"), _digest(F.col("rest")).alias("to_end_md5"))
+
+
+def _text_chunks(spark, sf_dir) -> DataFrame:
+    """Documents as files, read back in chunks."""
+    folder = work_dir(spark, "texts")
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text")
+    _as_files(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text"), folder)
+    read = chunks.read_chunks(chunks.plan_chunks(trees.walk_tree(spark, folder), chunk=CHUNK))
+    return read.withColumn("doc_id", F.substring("path", 2, 20).cast("long"))
+
+
+@query
+def lines_from_chunks(spark, sf_dir):
+    lines = chunks.chunk_lines(_text_chunks(spark, sf_dir), "doc_id")
+    return lines.select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query
+def scan_strings_chunks(spark, sf_dir):
+    found = chunks.chunk_strings(_text_chunks(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "offset", "value")
+
+
 @query
 def read_bytes_padded(spark, sf_dir):
     blobs = derive.blobs(spark, sf_dir)
@@ -749,6 +813,18 @@ def apply_runs(spark, sf_dir):
     return patched.select("path", _digest(F.col("content")).alias("content_md5"))
 
 
+@query
+def apply_runs_chunks(spark, sf_dir):
+    """The edits applied chunk by chunk; blobs are put together again for their digests only."""
+    blobs = blob_chunks(derive.blobs(spark, sf_dir).select("path", "content"), chunk=CHUNK)
+    cut = blobs.select("path", F.floor(F.col("base") / CHUNK).alias("chunk_no"), F.col("base").alias("start"), F.col("piece").alias("content"))
+    pieces = patches.runs_in_chunks(edits.last_edit_wins(derive.edit_log(spark, sf_dir)), CHUNK)
+    patched = patches.patch_chunks(cut, pieces, CHUNK)
+    digits = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("content").alias("digits"))))
+    whole = patched.groupBy("path").agg(F.array_join(F.transform(digits, lambda d: d["digits"]), "").alias("digits"))
+    return whole.select("path", F.md5("digits").alias("content_md5"))
+
+
 @query
 def edits_preview(spark, sf_dir):
     pending = edits.last_edit_wins(derive.edit_log(spark, sf_dir))
