@@ -3,7 +3,7 @@
 Codes are signs under rotations that are fitted on a bounded sample (iterative
 quantization from several starts). Equal vectors are one class, searched once.
 
-1. Codes are split into substrings and each is indexed. A code within radius ``r`` of a
+1. Codes are split into substrings and each is indexed, by blocks of neighbouring codes. A code within radius ``r`` of a
    query agrees with it in some substring but for ``r // substrings`` bits, so probing all such values
    and checking the whole code retrieves every code within the radius. A query is done if
    its neighbours so found are nearer than what could lie beyond the radius but by chance.
@@ -34,6 +34,7 @@ NARROW = 1  # bits a substring may differ by in probing
 SURE = 0.97  # cosine that nearly always lies within the narrow radius
 TARGET = 0.99
 BLOCK, LOT = 4096, 512
+BLOCK_BITS = 8  # of the number of codes in a block of the substring index
 LEAST = 64
 
 
@@ -128,31 +129,44 @@ def _probes(code: str, bits: int, near: int) -> F.Column:
     return F.flatten(F.array(*[around(j) for j in range(bits // SUBSTRING)]))
 
 
-def _probed(queries: DataFrame, index: DataFrame, bits: int, dim: int) -> DataFrame:
-    """``(qkey, vec_id, score)`` of every indexed code within the narrow radius of a query's."""
-    radius = (bits // SUBSTRING) * (NARROW + 1) - 1
-    left = queries.select("qkey", F.col("code").alias("q"), F.explode(_probes("code", bits, NARROW)).alias("at"))
-    right = index.select("vec_id", "code", F.explode(_probes("code", bits, 0)).alias("at"))
-    pairs = left.select("qkey", "q", "at.*").join(right.select("vec_id", "code", "at.*"), ["j", "v"])
+def _probed(queries: DataFrame, index: DataFrame, bits: int, dim: int, k: int) -> DataFrame:
+    """``(qkey, vec_id, score)``: per block of codes the best ``k`` of those within the narrow radius of each query's.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, c = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8) for x in ("q", "code"))
-            near = np.bitwise_count(q ^ c).reshape(batch.num_rows, -1).sum(axis=1) <= radius
-            yield batch.select(["qkey", "vec_id"]).filter(pa.array(near))
-
-    close = pairs.select("qkey", "vec_id", "q", "code").mapInArrow(run, "qkey long, vec_id long").distinct()
+    The buckets of a substring hold blocks of neighbouring codes, so near copies share few entries, however
+    many they are. A query meets each block that its probes name once; the code check and the rerank by floats
+    are done there, and what is among a query's best is among the best of its block.
+    """
+    radius = (bits // SUBSTRING) * (NARROW + 1) - 1
+    entries = index.select("block", F.explode(_probes("code", bits, 0)).alias("at")).select("block", "at.*").distinct()
+    probes = queries.select("qkey", F.explode(_probes("code", bits, NARROW)).alias("at")).select("qkey", "at.*")
+    asked = staged(probes.join(entries, ["j", "v"]).select("qkey", "block").distinct(), "asked")
+    # a block that very many queries ask for is dealt out with some of them each
+    lots = asked.groupBy("block").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    dealt = asked.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("qkey"), F.col("lots")))
+    left = dealt.join(queries.select("qkey", "code", "embedding"), "qkey").select("block", "lot", "qkey", "code", "embedding")
+    members = index.join(lots, "block").select(
+        F.col("block").alias("of_block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("of_lot"),
+        "vec_id",
+        "code",
+        "embedding",
+    )
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _matrix(batch.column("wanted"), dim), _matrix(batch.column("embedding"), dim)
-            score = [float(cosines(y[None, :], x)[0]) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["qkey", "vec_id"]).append_column("score", pa.array(score, pa.float64()))
+    def run(wanted: pa.Table, block: pa.Table) -> pa.Table:
+        q_ids, ids = wanted.column("qkey").to_pylist(), block.column("vec_id").to_numpy()
+        q_own, own = (np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (wanted, block))
+        q_vectors, vectors = _matrix(wanted.column("embedding"), dim), _matrix(block.column("embedding"), dim)
+        out = []
+        for q, code, vector in zip(q_ids, q_own, q_vectors, strict=True):
+            near = np.flatnonzero(distances(own, code) <= radius) if len(ids) else ids
+            score = cosines(vectors[near], vector)
+            out += [(q, int(ids[near[b]]), float(score[b])) for b in np.lexsort((ids[near], -score))[:k]]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qkey", "vec_id", "score"])
 
-    full = close.join(queries.select("qkey", F.col("embedding").alias("wanted")), "qkey").join(
-        index.select("vec_id", "embedding"), "vec_id"
-    )
-    return full.select("qkey", "vec_id", "wanted", "embedding").mapInArrow(measure, "qkey long, vec_id long, score double")
+    both = left.groupBy("block", "lot").cogroup(members.groupBy("of_block", "of_lot"))
+    return both.applyInArrow(run, "qkey long, vec_id long, score double")
 
 
 def _one_row(part: pa.RecordBatch | pa.Table, dim: int, id_name: str) -> dict[str, pa.Array]:
@@ -251,7 +265,10 @@ def _nearest(few: DataFrame, queries: DataFrame, dim: int, k: int, sample_rows:
     sample = _unit(np.array(sample.tolist(), np.float64).reshape(-1, dim))
     turn = rotations(sample)
     bits = turn.shape[1]
-    index = staged(_coded(firsts, turn, dim, "vec_id"), "index")
+    # neighbouring codes in blocks; the upper bits of the number are the partition's
+    coded = staged(_coded(firsts, turn, dim, "vec_id"), "codes")
+    ordered = coded.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id")
+    index = staged(ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "index")
     distinct = queries.groupBy("embedding").agg(F.min("query_id").alias("qkey"))
     searched = staged(_coded(distinct, turn, dim, "qkey"), "searched")
     # a class is entered with its smallest ids, each with the class's score
@@ -261,7 +278,7 @@ def _nearest(few: DataFrame, queries: DataFrame, dim: int, k: int, sample_rows:
         best = _top(found, "qkey", k + 1).select("qkey", F.col("vec_id").alias("first"), "score")
         return _top(best.join(members, "first").select("qkey", "vec_id", "score"), "qkey", k + 1)
 
-    probed = staged(with_members(_probed(searched, index, bits, dim)), "probed")
+    probed = staged(with_members(_probed(searched, index, bits, dim, k + 1)), "probed")
     sure = probed.groupBy("qkey").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     done = sure.where((F.col("n") > k) & (F.col("least") >= SURE)).select("qkey")
     rest = searched.join(done, "qkey", "left_anti")

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from siftworks.llm import nearest as N
 from siftworks.llm.nearest import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, code string, score string"
@@ -75,3 +77,22 @@ def test_few_rows_and_none(frame):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])]
     assert close(search(frame, rows), brute(rows))
     assert search(frame, [(0, [1.0])]) == {} and search(frame, [(1, [1.0]), (2, [1.0])]) == {} and search(frame, []) == {}
+
+
+def test_probing_passes_on_few_rows_of_a_cluster(frame):
+    """Near copies of one vector: what probing gives for a query grows with blocks, not with the cluster, and is exact."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    vectors = centre + rng.standard_normal((1500, 32)) * 1e-3
+    turn = N.rotations(N._unit(np.concatenate([vectors[:50], rng.standard_normal((400, 32))])))
+    rows = frame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    coded = N._coded(rows, turn, 32, "vec_id")
+    index = coded.withColumn("block", F.floor(F.col("vec_id") / 256))
+    asked = N._coded(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qkey"), turn, 32, "qkey")
+    found = N._probed(asked, index, turn.shape[1], 32, 6).collect()
+    assert len(found) <= 30 * 6 * 6
+    for q in range(0, 1500, 50):
+        score = N.cosines(vectors, vectors[q])
+        best = np.lexsort((np.arange(1500), -score))[:6]
+        own = sorted((-r["score"], r["vec_id"]) for r in found if r["qkey"] == q)[:6]
+        assert own == [(-float(score[b]), int(b)) for b in best]
