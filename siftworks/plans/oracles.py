@@ -613,3 +613,12 @@ for _chunked, _name in (
     ("lines_from_chunks", "lines_of_documents"), ("scan_strings_chunks", "scan_strings_documents"),
 ):
     ORACLES[_chunked] = ORACLES[_name]
+
+_MOVED = "SELECT 'd' || doc_id || '.txt' AS path, true AS done, CAST(NULL AS VARCHAR) AS error, sha256(text) AS sha256"
+ORACLES["moved_files"] = f"{_MOVED}, CAST(NULL AS VARCHAR) AS left_sha256 FROM documents"
+ORACLES["replayed_batch"] = f"""
+    {_MOVED}, CASE WHEN doc_id % 8 = 0 THEN sha256('somebody else''s') END AS left_sha256 FROM documents"""
+ORACLES["deleted_files"] = """
+    SELECT 'd' || doc_id || '.txt' AS path, CASE WHEN doc_id % 3 <> 0 THEN true END AS done, CAST(NULL AS VARCHAR) AS error,
+           CASE WHEN doc_id % 3 = 0 THEN sha256(text) END AS left_sha256
+    FROM documents"""

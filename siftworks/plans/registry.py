@@ -19,7 +19,7 @@ from siftworks.operators.commit_graph import walk_from_heads as walk_heads
 from siftworks.operators.match import explode_lines, scan_text
 from siftworks.plans import derive, scans
 from siftworks.session import staged, work_dir
-from siftworks.sources import chunks, readers, trees, watch, writers
+from siftworks.sources import chunks, journal, readers, trees, watch, writers
 from siftworks.sources.trees import open_filesystem
 from siftworks.streaming import bursts, ledgers, streams
 
@@ -149,6 +149,71 @@ def copied_files(spark, sf_dir):
     return done.join(read.select("path", "sha256"), "path", "left")
 
 
+def _planned(spark, sf_dir, folder: str, effect: str) -> DataFrame:
+    """One step for each document's file below ``folder/from``, which is written first."""
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    _as_files(docs.select(path.alias("path"), "text"), f"{folder}/from")
+    to = F.lit(None).cast("string") if effect == "delete" else F.concat(F.lit(f"{folder}/to/"), path)
+    return docs.select(
+        "doc_id", F.concat(F.lit(f"{folder}/from/"), path).alias("source"), to.alias("destination"), F.lit(effect).alias("effect"),
+        F.lit(0).alias("ts_micros"), F.col("doc_id").alias("seq"),
+    )
+
+
+def _digests_below(spark, folder: str, name: str) -> DataFrame:
+    return readers.inventory(readers.read_tree(spark, folder)).select("path", F.col("sha256").alias(name))
+
+
+@query
+def moved_files(spark, sf_dir):
+    """Documents as files, moved by the monitor's move action; nothing stays where they were."""
+    folder = work_dir(spark, "moves")
+    report = journal.carry_out(_planned(spark, sf_dir, folder, "move"), f"{folder}/journal")
+    done = report.select(F.substring_index("source", "/", -1).alias("path"), "done", "error")
+    left = _digests_below(spark, f"{folder}/from", "left_sha256")
+    return done.join(_digests_below(spark, f"{folder}/to", "sha256"), "path", "left").join(left, "path", "left")
+
+
+@query
+def deleted_files(spark, sf_dir):
+    """Two of three documents' files deleted; what is left, and what the report says."""
+    folder = work_dir(spark, "deletes")
+    plan = _planned(spark, sf_dir, folder, "delete").where("doc_id % 3 <> 0")
+    report = journal.carry_out(plan, f"{folder}/journal")
+    done = report.select(F.substring_index("source", "/", -1).alias("path"), "done", "error")
+    return done.join(_digests_below(spark, f"{folder}/from", "left_sha256"), "path", "full")
+
+
+@query
+def replayed_batch(spark, sf_dir):
+    """Moves of which an attempt that died has delivered some and taken others; at some delivered ones' places new files stand."""
+    folder = work_dir(spark, "replay")
+    plan = _planned(spark, sf_dir, folder, "move")
+    intents = journal.prepare(plan, f"{folder}/journal").join(plan.select("source", "doc_id"), "source")
+
+    def died(frames):
+        for frame in frames:
+            for source, to, token, number in frame[["source", "destination", "token", "doc_id"]].itertuples(index=False):
+                files, place = open_filesystem(source)
+                target = {0: to, 1: journal.held_name(to, source, token)}.get(number % 4)
+                if target:
+                    _, target = open_filesystem(target)
+                    files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    files.move(place, target)
+                if number % 8 == 0:
+                    with files.open_output_stream(place) as out:
+                        out.write(b"somebody else's")
+            yield frame[["source"]]
+
+    steps = intents.select("source", "destination", "token", "doc_id")
+    steps.mapInPandas(died, "source string").write.format("noop").mode("overwrite").save()
+    report = journal.carry_out(plan, f"{folder}/journal")
+    done = report.select(F.substring_index("source", "/", -1).alias("path"), "done", "error")
+    left = _digests_below(spark, f"{folder}/from", "left_sha256")
+    return done.join(_digests_below(spark, f"{folder}/to", "sha256"), "path", "left").join(left, "path", "left")
+
+
 @query
 def scan_no_infra(spark, sf_dir):
     docs = derive.planted(spark, sf_dir)

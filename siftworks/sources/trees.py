@@ -69,6 +69,8 @@ def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, rec
                 if isinstance(filesystem, fs.LocalFileSystem):
                     infos = [i for i in infos if not os.path.islink(i.path)]
                 infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
+                if not infos:
+                    continue
                 yield pd.DataFrame(
                     {
                         "path": [f"{folder}/{i.base_name}" if folder else i.base_name for i in infos],

@@ -12,6 +12,7 @@ from siftworks.functions.rules import Rule
 from siftworks.operators.events import MonitorOptions, plan_actions, select_events
 from siftworks.operators.match import scan_text
 from siftworks.session import staged
+from siftworks.sources.journal import carry_out
 from siftworks.sources.writers import run_actions
 from siftworks.streaming.bursts import debounce_live, start_live
 
@@ -77,6 +78,7 @@ def monitor(
     live: bool = False,
     delay: str = "10 seconds",
     available_now: bool = False,
+    journal: str | None = None,
 ) -> StreamingQuery:
     """Watch a stream of ``(ts, path, kind, kind_detail, seq)`` and act on what passes the filter.
 
@@ -86,10 +88,12 @@ def monitor(
     last one on a quiet folder is acted on once the pause has gone by; such a query runs until it is stopped.
 
     Each micro-batch writes its report to its own folder ``out/batch=<id>``, so a
-    batch that is run again after a failure replaces its report.  A failing action
+    batch that is run again after a failure replaces its report.  Its steps are carried out
+    once all the same: ``journal`` (``out`` with ``.journal`` by default) holds what each batch set out to do.  A failing action
     is a row with an error (see ``failed_actions``) and does not stop the stream.
     """
     options.check()
+    journal = journal or f"{out.rstrip('/')}.journal"
     if live and (available_now or not debounced):
         raise ValueError("live goes with debounced and runs until it is stopped")
     selected = select_events(events, options)
@@ -112,7 +116,8 @@ def monitor(
         if dry_run:
             run_actions(plan).write.mode("overwrite").parquet(folder)
         else:
-            run_actions(plan, dry_run=False, report=folder)
+            # the folder keeps the batch's intents beside its report, so a batch that is run again finishes what it began
+            carry_out(plan, f"{journal}/batch={batch_id}").write.mode("overwrite").parquet(folder)
 
     writer = selected.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
     if live:

@@ -150,3 +150,10 @@ def test_spread(spark):
     wide = spark.range(0, 10, 1, 64)
     assert spread(wide, "id") is wide
     assert local_session(4, 4) is not None and F.lit(1) is not None
+
+
+def test_empty_folders(spark, tmp_path):
+    assert walk_tree(spark, str(tmp_path)).count() == 0
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "f").write_text("x")
+    assert [r.path for r in walk_tree(spark, str(tmp_path)).collect()] == ["a/f"]
