@@ -3,19 +3,24 @@
 Every rule is unrolled into the plan as literals, so each regex is compiled once
 per task.  A cheap filter (a few ``contains`` on the line as it is) keeps nearly all
 lines away from the regexes; only the rest is case-folded and tried rule by rule,
-behind tests shared by many rules and each rule's own anchors.  The filter reads columns of the line generator,
+behind tests shared by many rules and each rule's own anchors.  Custom rules whose form a backtracking engine
+cannot take on long lines are run by a linear-time one.  The filter reads columns of the line generator,
 so it runs in the same stage, after any repartitioning of the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftworks.functions.dialect import first_match_prefix, to_java
+from siftworks.functions.linear import first_matches
 from siftworks.functions.rules import GATES, Rule
 from siftworks.functions.severity import rank_of
 from siftworks.functions.text import fold, split_lines, trim_end
@@ -93,7 +98,7 @@ def _hit(rule: Rule, number: int, redact: bool) -> str:
 
 
 def _matches(rules: Sequence[Rule], with_env: bool, redact: bool) -> str:
-    hits = [_hit(r, i, redact) for i, r in enumerate(rules) if with_env or not r.env_only]
+    hits = [_hit(r, i, redact) for i, r in enumerate(rules) if (with_env or not r.env_only) and not r.runs_linear]
     if not hits:
         return (
             "CAST(NULL AS ARRAY<STRUCT<rule_no: INT, rule_name: STRING, severity: STRING, "
@@ -102,6 +107,34 @@ def _matches(rules: Sequence[Rule], with_env: bool, redact: bool) -> str:
     return f"array_compact(array({', '.join(hits)}))"
 
 
+_FOUND = "rule_no int, rule_name string, severity string, severity_rank byte, _token string, _content string"
+
+
+def _linear_hits(lines: DataFrame, rules: Sequence[Rule], line: str, redact: bool) -> DataFrame:
+    """Hits of the rules that the linear-time engine runs: Arrow batches against its compiled patterns, no shuffle."""
+    keep = [f for f in lines.schema.fields if f.name != line]
+    names = [f.name for f in keep]
+    schema = T.StructType([*keep, *T.StructType.fromDDL(_FOUND).fields])
+    chosen = [
+        (i, r.name, r.severity, rank_of(r.severity), r.linear, r.linear_allowlist) for i, r in enumerate(rules) if r.runs_linear
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, name, severity, rank, linear, allowlist in chosen:
+                at, parts = first_matches(batch.column(line), linear, allowlist)
+                before, token, rest = (pc.struct_field(parts, k) for k in ("before", "hit", "rest"))
+                shown = pa.repeat(REDACTED, len(at)) if redact else token
+                told = [(number, pa.int32()), (name, pa.string()), (severity, pa.string()), (rank, pa.int8())]
+                facts = [pa.array([value] * len(at), kind) for value, kind in told]
+                content = pc.binary_join_element_wise(before, shown, rest, "")
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.select(names).take(at).columns, *facts, token, content], names=[f.name for f in schema.fields]
+                )
+
+    return lines.select(*names, line).mapInArrow(run, schema)
+
+
 def explode_lines(df: DataFrame, text: str = "text", *, skip_blank: bool = False) -> DataFrame:
     """One row per line with a 1-based ``line_no``; the text column is replaced by ``line``."""
     keep = [c for c in df.columns if c != text]
@@ -127,10 +160,11 @@ def match_rules(
     """
     keep = [c for c in lines.columns if c != line]
     text = F.col(line)
-    worth = worth_trying([r for r in rules if not r.env_only], text)
+    backtracking = [r for r in rules if not r.runs_linear]
+    worth = worth_trying([r for r in backtracking if not r.env_only], text)
     if env is not None:
-        worth = worth | (env & worth_trying([r for r in rules if r.env_only], text))
-    gates = sorted({r.gate for r in rules if r.gate})
+        worth = worth | (env & worth_trying([r for r in backtracking if r.env_only], text))
+    gates = sorted({r.gate for r in backtracking if r.gate})
     candidates = lines.filter(worth).select(
         *keep,
         text.alias("_line"),
@@ -139,6 +173,9 @@ def match_rules(
     )
     candidates = candidates.select("*", *[F.rlike("_folded", F.lit(GATES[g])).alias(f"_gate_{g}") for g in gates])
     hits = candidates.select(*keep, F.inline(F.expr(_matches(rules, env is not None, redact))))
+    if len(backtracking) < len(rules):
+        linear = _linear_hits(lines, rules, line, redact)
+        hits = hits.select(*linear.columns).unionByName(linear) if backtracking else linear
     token = F.col("_token")
     return hits.select(
         *keep,

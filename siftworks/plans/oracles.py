@@ -82,6 +82,9 @@ ORACLES["scan_redacted"] = _scan(_PLANTED, "doc_id")
 ORACLES["scan_unredacted"] = _scan(_PLANTED, "doc_id", redact=False)
 _CUSTOM = [Rule("custom-0", "HIGH", registry.CUSTOM_PATTERN)]
 ORACLES["scan_custom_rule"] = _scan(_DOCS, "doc_id", _CUSTOM)
+ORACLES["scan_linear_rules"] = _scan(
+    _DOCS, "doc_id", [Rule(f"custom-{i}", "HIGH", p) for i, p in enumerate(registry.LINEAR_PATTERNS)]
+)
 ORACLES["scan_default_and_custom_rules"] = _scan(_PLANTED, "doc_id", [*default_rules(), *_CUSTOM])
 ORACLES["scan_directory"] = _scan(
     f"""SELECT lang || '/d' || doc_id || '.py' AS path, {derive.PLANTED_TEXT} AS text FROM documents

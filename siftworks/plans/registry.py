@@ -98,6 +98,16 @@ def scan_custom_rule(spark, sf_dir):
     return scan_text(docs, [user_rule(0, CUSTOM_PATTERN, spark)]).select("doc_id", "line_no", *SHOWN)
 
 
+LINEAR_PATTERNS = (r"(?:[A-Za-z]+ ){3,}the ", r"[a-z]+(?:, [a-z]+)+", r"(?i)(?:en|er|on)+[ .]")
+
+
+@query
+def scan_linear_rules(spark, sf_dir):
+    """Custom rules that repeat groups or begin with a repeat, which the linear-time engine runs."""
+    docs = derive.table(spark, sf_dir, "documents", "doc_id", "text")
+    return scan_text(docs, select_rules([], patterns=LINEAR_PATTERNS, spark=spark)).select("doc_id", "line_no", *SHOWN)
+
+
 @query
 def scan_default_and_custom_rules(spark, sf_dir):
     rules = select_rules(patterns=[CUSTOM_PATTERN], spark=spark)
