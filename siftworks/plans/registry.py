@@ -584,7 +584,7 @@ def _blob_files(spark, sf_dir) -> DataFrame:
     return listed.select("root", "path", "length", F.substring("path", 2, 20).cast("long").alias("doc_id"))
 
 
-CHUNK = 512  # far smaller than in use, so that texts cross many borders
+CHUNK = 1024  # far smaller than in use, so that texts cross many borders
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from siftworks.functions.paths import (
     skip_git_dir,
 )
 from siftworks.functions.text import decode_utf8, split_lines, trim_both
+from siftworks.session import staged
 from siftworks.sources.trees import walk_tree, with_content
 
 
@@ -88,11 +89,44 @@ def ignore_rules_by_root(files: DataFrame, name: str) -> DataFrame:
     return files.filter(F.col("path") == name).select("root", kept.alias("patterns"))
 
 
+def _path_keys(path: Column, mode: str, prefixes: Sequence[int], runs: Sequence[int]) -> Column:
+    """Hashes of the leading folders of a path, and of runs of its components, by number of components.
+
+    In a tree a run may stand anywhere, as matched folders are pruned; else it ends the path.
+    """
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    depth = F.size(parts)
+
+    def some(kind: str, n: int, first: Column | int, last: Column) -> Column:
+        starts = F.sequence(F.lit(first) if isinstance(first, int) else first, last)
+        keys = F.transform(starts, lambda i: F.xxhash64(F.lit(kind), F.array_join(F.slice(parts, i, n), "/")))
+        return F.when(depth >= n + (kind == "prefix"), keys).otherwise(F.array().cast("array<bigint>"))
+
+    found = [some("prefix", n, 1, F.lit(1)) for n in prefixes]
+    found += [some("run", n, 1 if mode == "tree" else depth - n + 1, depth - n + 1) for n in runs]
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<bigint>")
+
+
 def paths_anti_ignores(files: DataFrame, rules: DataFrame, mode: str = "tree") -> DataFrame:
-    """Files not matched by any pattern of their own root; one rules row per root, joined on an equal key."""
-    joined = files.join(rules, "root", "left")
-    hit = F.exists("patterns", lambda p: scan_ignored(F.col("path"), p, mode))
-    return joined.filter(~F.coalesce(hit, F.lit(False))).drop("patterns")
+    """Files not matched by any pattern of their own root, from ``rules(root, patterns)``.
+
+    Paths and patterns meet by root and hash of the components in question, so a path meets the patterns
+    that match it and not all of its root, and a root with very many of both is dealt over all tasks. Only
+    lengths that occur among the patterns are tried; there are no more of them than a path has components.
+    """
+    folder = F.endswith("pattern", F.lit("/"))
+    patterns = rules.select("root", F.explode("patterns").alias("pattern")).distinct()
+    kind, name = F.when(folder, F.lit("prefix")).otherwise(F.lit("run")), F.when(folder, F.rtrim("pattern", F.lit("/"))).otherwise(F.col("pattern"))
+    facts = patterns.select("root", "pattern", kind.alias("_kind"), F.size(F.split(name, "/")).alias("_n"), F.xxhash64(kind, name).alias("_key"))
+    named = staged(facts, "patterns")
+    lengths = [(r["_kind"], r["_n"]) for r in named.select("_kind", "_n").distinct().collect()]
+    prefixes, runs = (sorted(n for kind, n in lengths if kind == wanted) for wanted in ("prefix", "run"))
+    paths = files.select("root", "path").distinct()
+    keyed = paths.select("root", "path", F.explode(_path_keys(F.col("path"), mode, prefixes, runs)).alias("_key"))
+    # a hash may err, the test does not
+    met = keyed.join(named.select("root", "_key", "pattern"), ["root", "_key"])
+    ignored = met.where(scan_ignored(F.col("path"), F.col("pattern"), mode)).select("root", "path").distinct()
+    return files.join(ignored, ["root", "path"], "left_anti").select(*files.columns)
 
 
 def manifest(files: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +71,31 @@ def test_scan_ignored_from_a_table(frame):
     assert sorted((r.root, r.path) for r in kept) == [("r1", "src/a"), ("r2", "vendor/a")]
 
 
+@pytest.mark.parametrize("mode", ["tree", "history"])
+def test_ignored_paths_against_every_pattern(frame, mode):
+    """Random paths and patterns, odd slashes among them, path by path; nulls and roots without patterns stay."""
+    rng = random.Random(mode)
+    part = lambda: rng.choice(("a", "b", "cc", "", "a.b", "d"))
+    paths = [rng.choice(("/", "\\")).join(part() for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    patterns = ["/".join(part() for _ in range(rng.randint(1, 3))) + rng.choice(("", "", "/", "//")) for _ in range(25)]
+    patterns = sorted({p for p in patterns if p} | {"/", "/a", "a//"})
+    files = frame([("r", p, i) for i, p in enumerate(paths)] + [("s", "a", 1), (None, "a", 2), ("r", None, 3)], "root string, path string, pattern int")
+    rules = frame([("r", patterns), ("t", ["a"])], "root string, patterns array<string>")
+    kept = sorted(map(tuple, paths_anti_ignores(files, rules, mode).collect()), key=str)
+    wanted = [("r", p, i) for i, p in enumerate(paths) if not any(brute_scan_ignored(p, x, mode) for x in patterns)]
+    assert kept == sorted([*wanted, ("s", "a", 1), (None, "a", 2), ("r", None, 3)], key=str) and 20 < len(wanted) < 280
+    assert paths_anti_ignores(files, frame([("r", [])], "root string, patterns array<string>"), mode).count() == 303
+
+
+def test_very_many_patterns_on_one_root(spark, frame):
+    patterns = spark.range(100_000).select(F.concat(F.lit("dir"), F.col("id").cast("string"), F.lit("/file")).alias("p"))
+    rules = patterns.agg(F.collect_list("p").alias("patterns")).select(F.lit("r").alias("root"), "patterns")
+    files = spark.range(200_000).select(F.lit("r").alias("root"), F.concat(F.lit("x/dir"), F.col("id").cast("string"), F.lit("/file/deep")).alias("path"))
+    start = time.monotonic()
+    assert paths_anti_ignores(files, rules).count() == 100_000
+    assert time.monotonic() - start < 120
+
+
 def test_watched_depth(frame):
     paths = ["w", "w/a", "w/a/b", "wx"]
     assert evaluate(frame, paths, P.path_depth_ok(PATH, "w/", True)) == [True, True, True, False]
