@@ -16,10 +16,14 @@ from siftworks.operators.findings import as_findings, dedup_findings, file_locat
 from siftworks.operators.history import scan_history
 from siftworks.operators.match import match_rules, scan_text
 from siftworks.session import staged
+from siftworks.sources.chunks import CHUNK_BYTES, chunk_lines, plan_chunks, read_chunks
 from siftworks.sources.readers import decode_text, list_tree, load_ignore_rules, tree_filter
 from siftworks.sources.trees import path_exists, with_content
 
 
+# Longer files are scanned in chunks and not as one value.
+WHOLE_BYTES = 1 << 28
+
 # Fixed value: the name of a directory's own scan-ignore file.
 IGNORE_FILE = ".fssignore"
 
@@ -52,6 +56,16 @@ def scan_files(files: DataFrame, options: ScanOptions, *keep: str) -> DataFrame:
     return as_findings(matches, file_location(path, F.col("line_no")), *keep)
 
 
+def scan_large_files(files: DataFrame, options: ScanOptions, *keep: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Findings of listed text files ``(root, path, length)`` of any size, read in chunks; otherwise those of ``scan_files``."""
+    path = F.col("path")
+    names = ["path", *keep]
+    wanted = files.filter(~is_binary_ext(path))
+    lines = chunk_lines(read_chunks(plan_chunks(wanted, chunk=chunk)), *names)
+    matches = match_rules(lines, options.rules, env=is_env_file(path), redact=options.redact)
+    return as_findings(matches, file_location(path, F.col("line_no")), *keep)
+
+
 def scan_tree(files: DataFrame, options: ScanOptions, *keep: str) -> DataFrame:
     """Findings of a working tree: ignored paths are pruned, then files are scanned."""
     wanted = files.filter(tree_filter(F.col("path"), options.all_ignores, options.scan_ignore))
@@ -116,8 +130,12 @@ def scan_directory(spark: SparkSession, root: str, options: ScanOptions) -> Data
         scan_ignore += load_ignore_rules(spark, f"{root.rstrip('/')}/{options.ignore_file}")
     listing = list_tree(spark, root, ignore=options.all_ignores, scan_ignore=scan_ignore)
     path = F.col("path")
-    texts = decode_text(with_content(listing.filter(~is_binary_ext(path)))).withColumn("repo", F.lit(root))
+    large = F.col("length") > WHOLE_BYTES
+    texts = decode_text(with_content(listing.filter(~is_binary_ext(path) & ~large))).withColumn("repo", F.lit(root))
     findings = scan_files(texts, options, "repo")
+    beyond = listing.filter(large).withColumn("repo", F.lit(root))
+    if not beyond.isEmpty():
+        findings = findings.unionByName(scan_large_files(beyond, options, "repo"))
     if not path_exists(f"{root.rstrip('/')}/.git"):
         return findings.drop("repo")
     exclude = spark.range(1).select(F.lit(root).alias("root"), F.lit(EXCLUDE_FILE).alias("path"), F.lit(0).alias("length"))

@@ -23,6 +23,7 @@ from siftworks.session import staged
 ENTRIES = "path string, is_dir boolean, length long, micros long"
 PARTITION_BYTES = 128 << 20
 BATCH_BYTES = 32 << 20
+FRAME_ROWS = 10_000  # entries of a folder that are handed over at once
 
 
 def open_filesystem(path: str):
@@ -69,16 +70,16 @@ def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, rec
                 if isinstance(filesystem, fs.LocalFileSystem):
                     infos = [i for i in infos if not os.path.islink(i.path)]
                 infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
-                if not infos:
-                    continue
-                yield pd.DataFrame(
-                    {
-                        "path": [f"{folder}/{i.base_name}" if folder else i.base_name for i in infos],
-                        "is_dir": [i.type == fs.FileType.Directory for i in infos],
-                        "length": [i.size or 0 for i in infos],
-                        "micros": [(i.mtime_ns or 0) // 1000 for i in infos],
-                    }
-                )
+                for first in range(0, len(infos), FRAME_ROWS):
+                    some = infos[first : first + FRAME_ROWS]
+                    yield pd.DataFrame(
+                        {
+                            "path": [f"{folder}/{i.base_name}" if folder else i.base_name for i in some],
+                            "is_dir": [i.type == fs.FileType.Directory for i in some],
+                            "length": [i.size or 0 for i in some],
+                            "micros": [(i.mtime_ns or 0) // 1000 for i in some],
+                        }
+                    )
 
     levels = []
     frontier = spark.range(1).select(F.lit("").alias("path"))

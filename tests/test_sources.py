@@ -74,6 +74,21 @@ def test_scan_directory(spark, tree):
     assert not {p for p in by_path if p.startswith(("vendor", "skip", "node_modules", ".git/")) or p in ("app.exe", "Cargo.lock", "bad.txt")}
 
 
+def test_large_files_are_scanned_in_chunks(spark, tree, monkeypatch):
+    """The same findings whether a file is read as one value or in chunks, few or many of them."""
+    options = scans.ScanOptions(ignore=("vendor",), scan_ignore=("skip/",))
+    rows = lambda: sorted(map(str, scans.scan_directory(spark, str(tree), options).collect()))
+    (tree / "long.py").write_text("x = 1\r\n" * 500 + ADDRESS + "\nlisten 10.0.0.9" * 300)
+    wanted = rows()
+    assert len(wanted) > 300
+    for most in (0, 20):
+        monkeypatch.setattr(scans, "WHOLE_BYTES", most)
+        assert rows() == wanted
+    listed = walk_tree(spark, str(tree)).filter("path IN ('long.py', 'a.py', 'bad.txt')")
+    in_pieces = scans.scan_large_files(listed, options, chunk=7).collect()
+    assert len(in_pieces) == sum("long.py" in r or "'a.py'" in r for r in wanted)
+
+
 def test_a_directorys_own_ignore_file_and_global_ignores(spark, tmp_path):
     for name in ("a.py", "b.py", "c.py", "docs/d.py"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
