@@ -27,7 +27,6 @@ from siftworks.session import staged
 from siftworks.sources.trees import open_filesystem, walk_tree
 
 EVENTS = "ts timestamp, path string, kind string, kind_detail string, from_path string, seq long, version long"
-_STORED = "path string, kind string, kind_detail string, from_path string, seq long, ts_micros long"
 _INVENTORY = "key string, at string, length long, modified timestamp, sha256 string"
 SOURCE = "inventory_events"
 DIGEST_BYTES = 1 << 30
@@ -67,7 +66,7 @@ def _listed(spark: SparkSession, targets: Sequence[str], keep: Column | None, re
             walked = walk_tree(spark, root, keep, recursive=recursive)
             parts.append(walked.select(key.alias("key"), at.alias("at"), "length", F.col("modificationTime").alias("modified")))
     schema = "key string, at string, length long, micros long"
-    single = spark.createDataFrame(files, schema) if files else spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", "))])
+    single = spark.createDataFrame(files, schema)
     parts.append(single.select("key", "at", "length", F.timestamp_micros("micros").alias("modified")))
     # a file below two targets is one file
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["key"])
@@ -126,12 +125,16 @@ def take_inventory(
         places = before.select("key", "at").unionByName(now.select("key", "at")).dropDuplicates(["key"])
         ends = places.select(F.col("key").alias("path"), F.col("at").alias("_at"))
         starts = places.select(F.col("key").alias("from_path"), F.col("at").alias("_from"))
-        found = changes.join(ends, "path").join(starts, "from_path", "left")
+        # only renames have a former path; all others would meet under the null key
+        found = staged(changes.join(ends, "path"), "changes")
+        renamed = found.where("from_path IS NOT NULL").join(starts, "from_path")
+        others = found.where("from_path IS NULL").withColumn("_from", F.lit(None).cast("string"))
+        found = others.unionByName(renamed)
         # one event for a path in a version; the number orders events of one version alike in every run
         seq = F.lit(version << 31) + F.pmod(F.xxhash64("path"), F.lit(1 << 31))
         events = found.select(F.col("_at").alias("path"), "kind", "kind_detail", F.col("_from").alias("from_path"), seq.alias("seq"))
     else:
-        events = now.limit(0).select(F.col("at").alias("path"), *[F.lit(None).cast("string").alias(n) for n in ("kind", "kind_detail", "from_path")], F.lit(0).cast("long").alias("seq"))
+        events = spark.createDataFrame([], "path string, kind string, kind_detail string, from_path string, seq long")
     events.withColumn("ts_micros", F.unix_micros(F.current_timestamp())).write.mode("overwrite").parquet(f"{folder}/events")
     filesystem, base = open_filesystem(store)
     filesystem.create_dir(f"{base.rstrip('/')}/committed", recursive=True)
