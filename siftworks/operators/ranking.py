@@ -58,7 +58,8 @@ def ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     parts = placed.groupBy(*keys, "_part").agg(F.min("_nth").alias("_first"), F.count("*").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1
-    shifts = staged(parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), shift.alias("_shift")), "shifts")
+    names = [F.col(k).alias(f"_of_{k}") for k in keys]
+    shifts = staged(parts.select(*names, F.col("_part").alias("_of_part"), shift.alias("_shift")), "shifts")
     same = F.col("_part") == F.col("_of_part")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))

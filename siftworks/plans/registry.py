@@ -600,11 +600,12 @@ def byte_range_chunks(spark, sf_dir):
     files = _blob_files(spark, sf_dir).join(_span(spark, sf_dir).select("path", "first", "last"), "path")
     inner = chunks.range_bounds(F.col("length"), F.col("first"), F.col("last"))
     to_end = chunks.range_bounds(F.col("length"), F.col("first"), None)
-    read = [
-        chunks.read_range(files.select("root", "path", "length", b["first"].alias("a"), b["last"].alias("b")), F.col("a"), F.col("b"), chunk=CHUNK)
-        for b in (inner, to_end)
-    ]
-    both = read[0].join(read[1].withColumnRenamed("content", "rest"), "path")
+
+    def read(bounds: Column) -> DataFrame:
+        spans = files.select("root", "path", "length", bounds["first"].alias("a"), bounds["last"].alias("b"))
+        return chunks.read_range(spans, F.col("a"), F.col("b"), chunk=CHUNK)
+
+    both = read(inner).join(read(to_end).withColumnRenamed("content", "rest"), "path")
     return both.select("path", B.hex_cells(F.col("content")).alias("cells"), _digest(F.col("rest")).alias("to_end_md5"))
 
 
@@ -892,7 +893,8 @@ def apply_runs(spark, sf_dir):
 def apply_runs_chunks(spark, sf_dir):
     """The edits applied chunk by chunk; blobs are put together again for their digests only."""
     blobs = blob_chunks(derive.blobs(spark, sf_dir).select("path", "content"), chunk=CHUNK)
-    cut = blobs.select("path", F.floor(F.col("base") / CHUNK).alias("chunk_no"), F.col("base").alias("start"), F.col("piece").alias("content"))
+    number = F.floor(F.col("base") / CHUNK)
+    cut = blobs.select("path", number.alias("chunk_no"), F.col("base").alias("start"), F.col("piece").alias("content"))
     pieces = patches.runs_in_chunks(edits.last_edit_wins(derive.edit_log(spark, sf_dir)), CHUNK)
     patched = patches.patch_chunks(cut, pieces, CHUNK)
     digits = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("content").alias("digits"))))
@@ -1101,12 +1103,18 @@ def watched_folder(spark, sf_dir):
 
     watch.take_inventory(spark, [root], store)
     arrive()
-    moved = F.col("lang") == "de"
     stays = docs.filter("source <> 'src3'")
-    archive = stays.filter(moved).select(F.concat(F.lit(f"{root}/"), name).alias("source"), F.concat(F.lit(f"{root}/archive/"), name).alias("destination"), F.lit("move").alias("effect"))
-    gone = docs.filter("source = 'src3'").select(F.concat(F.lit(f"{root}/"), name).alias("source"), F.lit(None).cast("string").alias("destination"), F.lit("delete").alias("effect"))
-    steps = archive.unionByName(gone).select("*", F.lit(0).alias("ts_micros"), F.lit(0).alias("seq"))
-    writers.run_actions(steps, dry_run=False)
+
+    def steps(rows: DataFrame, effect: str, to: Column) -> DataFrame:
+        zero = F.lit(0)
+        return rows.select(
+            F.concat(F.lit(f"{root}/"), name).alias("source"), to.alias("destination"), F.lit(effect).alias("effect"),
+            zero.alias("ts_micros"), zero.alias("seq"),
+        )
+
+    moves = steps(stays.filter("lang = 'de'"), "move", F.concat(F.lit(f"{root}/archive/"), name))
+    deletes = steps(docs.filter("source = 'src3'"), "delete", F.lit(None).cast("string"))
+    journal.carry_out(moves.unionByName(deletes), f"{folder}/journal")
     changed = stays.filter("lang = 'es'").select(name.alias("path"), F.concat("text", F.lit("!")).alias("text"))
     pages = derive.table(spark, sf_dir, "pages", "page_id", "html")
     arrived = pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("text"))

@@ -61,7 +61,9 @@ def held_name(destination: str | None, source: str, token: str) -> str:
     return f"{destination}.{token}.moving" if destination else f"{source}.{token}.gone"
 
 
-def _step(source: str, destination: str | None, effect: str, token: str, intended: tuple[str, int, int] | None) -> tuple[bool, str | None]:
+def _step(
+    source: str, destination: str | None, effect: str, token: str, intended: tuple[str, int, int] | None
+) -> tuple[bool, str | None]:
     """Carry out one intent, or what is left of it; whether it is done, and why not."""
     if effect == "copy":
         return _copy(source, destination), None
@@ -100,12 +102,14 @@ def prepare(plan: DataFrame, journal: str) -> DataFrame:
                 rows = []
                 for source, destination, effect in frame.itertuples(index=False):
                     named = "\0".join((journal, source, destination or "", effect))
-                    rows.append((source, destination, effect, hashlib.sha256(named.encode()).hexdigest()[:16], *(_state(source) or (None, None, None))))
+                    token = hashlib.sha256(named.encode()).hexdigest()[:16]
+                    rows.append((source, destination, effect, token, *(_state(source) or (None, None, None))))
                 columns = [c.split()[0] for c in INTENTS.split(", ")]
                 made = pd.DataFrame(rows, columns=columns)
                 yield made.astype({"length": "Int64", "micros": "Int64"})
 
-        last_writers(plan).select("source", "destination", "effect").mapInPandas(look, INTENTS).write.mode("overwrite").parquet(folder)
+        steps = last_writers(plan).select("source", "destination", "effect")
+        steps.mapInPandas(look, INTENTS).write.mode("overwrite").parquet(folder)
     return spark.read.schema(INTENTS).parquet(folder)
 
 

@@ -40,7 +40,7 @@ def whole(files):
     return with_content(files).select("path", "content")
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
 def test_chunks_hold_the_files(files, chunk):
     parts = {}
     for r in C.read_chunks(C.plan_chunks(files, chunk=chunk)).collect():
@@ -49,7 +49,7 @@ def test_chunks_hold_the_files(files, chunk):
     assert {p: b"".join(x[i] for i in range(len(x))) for p, x in parts.items()} == {k: v for k, v in CONTENTS.items() if v}
 
 
-@pytest.mark.parametrize("chunk", [1, 5, 64, 1 << 20])
+@pytest.mark.parametrize("chunk", [1, 64])
 def test_lines_across_borders(files, chunk):
     found = C.chunk_lines(C.read_chunks(C.plan_chunks(files, chunk=chunk)))
     wanted = explode_lines(decode_text(whole(files)))
@@ -57,8 +57,7 @@ def test_lines_across_borders(files, chunk):
     assert rows(found) == rows(wanted) and "broken" not in {r.path for r in found.collect()}
 
 
-@pytest.mark.parametrize("chunk", [1, 6, 64, 1 << 20])
-@pytest.mark.parametrize("least", [1, 4])
+@pytest.mark.parametrize("chunk,least", [(1, 1), (6, 4), (64, 4)])
 def test_strings_across_borders(files, chunk, least):
     found = C.chunk_strings(C.read_chunks(C.plan_chunks(files, chunk=chunk)), min_length=least)
     rows = sorted((r.path, r.offset, r.value) for r in found.collect())
@@ -76,7 +75,7 @@ def test_a_string_too_long_for_a_value(files, monkeypatch):
 def test_ranges_are_those_of_blobs(files, dialect):
     spans = [(a, b) for a in (-9, -1, 0, 3, 19, 700) for b in (-12, -2, 0, 3, 64, 699, 5000, None)]
     blobs = whole(files)
-    for a, b in spans[:: 3 if dialect == "cli" else 4]:
+    for a, b in spans[:: 7 if dialect == "cli" else 9]:
         bounds = C.range_bounds(F.col("length"), a, b, dialect)
         found = C.read_range(files, bounds["first"], bounds["last"], chunk=16)
         wanted = B.byte_range(F.col("content"), a, b, dialect)
@@ -95,7 +94,7 @@ def test_a_page_reads_its_bytes_only(files):
     plan = C.plan_chunks(big, chunk=256, first=F.lit(250), last=F.lit(260))
     assert [(r.chunk_no, r.start, r["size"]) for r in plan.orderBy("chunk_no").collect()] == [(0, 250, 6), (1, 256, 5)]
     assert C.plan_chunks(big, chunk=64).where("chunk_no = 3").count() == 1
-    for offset in (-100, 0, 100, 500, 690, 5000):
+    for offset in (-100, 100, 690, 5000):
         found = {r.path: bytes(r.content) for r in C.read_page(files, offset, 64, chunk=50).collect()}
         page = B.byte_page(F.col("content"), offset, 64)
         assert found == {r.path: bytes(r.p) for r in whole(files).select("path", page.alias("p")).collect()}
