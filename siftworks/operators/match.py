@@ -1,7 +1,7 @@
 """Lines and rule matching.
 
 Every rule is unrolled into the plan as literals, so each regex is compiled once
-per task.  A cheap filter (a few ``contains`` on the line as it is) keeps nearly all
+per task.  A cheap filter (one pass over the line as it is for all literals) keeps nearly all
 lines away from the regexes; only the rest is case-folded and tried rule by rule,
 behind tests shared by many rules and each rule's own anchors.  Custom rules whose form a backtracking engine
 cannot take on long lines are run by a linear-time one.  The filter reads columns of the line generator,
@@ -37,19 +37,44 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in text)
+
+
+def any_literal(literals: Sequence[str]) -> str:
+    """A pattern that finds any of these ASCII literals in one pass over a line.
+
+    A ``contains`` for each of them would read the line once for each. Every literal is looked for at its first character
+    that is rare in prose, no lower-case letter or blank, so most characters take one look into a class.
+    """
+    heads, tests = set(), []
+    for literal in literals:
+        at = next((i for i, c in enumerate(literal) if not (c.islower() or c == " ")), 0)
+        heads.add(literal[at])
+        tests.append(f"(?<={_quoted(literal[: at + 1])}){_quoted(literal[at + 1 :])}")
+    return f"[{_quoted(''.join(sorted(heads)))}](?:{'|'.join(tests)})"
+
+
 def worth_trying(rules: Sequence[Rule], line: Column) -> Column:
     """Cheap necessary condition for any of the rules to match on the line."""
     literals: dict[str, None] = {}
+    guards: dict[str, None] = {}
     regexes: dict[str, None] = {}
     for rule in rules:
         if rule.sieve:
             literals.update(dict.fromkeys(rule.sieve))
+        elif rule.guard:
+            guards[f"(?:{to_java(rule.guard)})"] = None
         else:
-            regexes[to_java(rule.guard) if rule.guard else rule.java] = None
+            regexes[rule.java] = None
     # a longer literal is implied by a shorter one it contains
     wanted = [a for a in literals if not any(b != a and b in a for b in literals)]
     wanted.sort(key=len)
-    return _any([F.contains(line, F.lit(a)) for a in wanted] + [F.rlike(line, F.lit(p)) for p in regexes])
+    plain = [a for a in wanted if a and a.isascii()]
+    together = "|".join([any_literal(plain)] * bool(plain) + [*guards])
+    tests = [F.rlike(line, F.lit(together))] if together else []
+    tests += [F.contains(line, F.lit(a)) for a in wanted if a not in plain]
+    return _any(tests + [F.rlike(line, F.lit(p)) for p in regexes])
 
 
 def _keep_bytes(token: Column) -> Column:

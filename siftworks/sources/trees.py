@@ -50,25 +50,28 @@ def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, rec
     ``keep`` is a condition on ``path`` that also decides which directories are
     entered.  Symbolic links are not followed and unreadable directories are
     skipped.  One round per directory level; each level is listed in parallel and
-    stored, so a lost executor repeats one level at most.
+    stored, so a lost executor repeats one level at most.  Of a local directory
+    only the names are read by one task; its files are measured in parallel.
     """
+    from pyarrow import fs
+
     keep = F.lit(True) if keep is None else keep
     tasks = spark.sparkContext.defaultParallelism
+    local = isinstance(open_filesystem(root)[0], fs.LocalFileSystem)
 
     def list_directories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         filesystem, base = open_filesystem(root)
         base = base.rstrip("/")
         for frame in frames:
             for folder in frame["path"]:
                 at = f"{base}/{folder}" if folder else base or "/"
+                if local:
+                    yield from list_names(folder, at)
+                    continue
                 try:
                     infos = filesystem.get_file_info(fs.FileSelector(at))
                 except OSError:
                     continue
-                if isinstance(filesystem, fs.LocalFileSystem):
-                    infos = [i for i in infos if not os.path.islink(i.path)]
                 infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
                 for first in range(0, len(infos), FRAME_ROWS):
                     some = infos[first : first + FRAME_ROWS]
@@ -81,6 +84,26 @@ def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, rec
                         }
                     )
 
+    def list_names(folder: str, at: str) -> Iterator[pd.DataFrame]:
+        try:
+            with os.scandir(at) as found:
+                # of these two kinds, links left out
+                kinds = [(e.name, e.is_dir(follow_symlinks=False)) for e in found if _is_plain(e)]
+        except OSError:
+            return
+        for first in range(0, len(kinds), FRAME_ROWS):
+            some = kinds[first : first + FRAME_ROWS]
+            paths = [f"{folder}/{name}" if folder else name for name, _ in some]
+            yield pd.DataFrame({"path": paths, "is_dir": [is_dir for _, is_dir in some], "length": 0, "micros": 0})
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = open_filesystem(root)[1].rstrip("/")
+        for frame in frames:
+            facts = [_length_and_micros(f"{base}/{path}") for path in frame["path"]]
+            there = [f is not None for f in facts]
+            lengths, micros = zip(*[f for f in facts if f], strict=True) if any(there) else ((), ())
+            yield frame[there].assign(length=lengths, micros=micros)
+
     levels = []
     frontier = spark.range(1).select(F.lit("").alias("path"))
     while True:
@@ -90,11 +113,29 @@ def walk_tree(spark: SparkSession, root: str, keep: Column | None = None, *, rec
         if not recursive or frontier.isEmpty():
             break
     files = reduce(DataFrame.unionByName, levels)
+    if local:
+        files = staged(files.repartition(tasks, "path").mapInPandas(measure, ENTRIES), "measured")
     return files.select(
         F.lit(root).alias("root"), "path", "length", F.timestamp_micros("micros").alias("modificationTime")
     )
 
 
+def _is_plain(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_dir(follow_symlinks=False) or entry.is_file(follow_symlinks=False)
+    except OSError:
+        return False
+
+
+def _length_and_micros(path: str) -> tuple[int, int] | None:
+    """Size and time of a local file; None if it has gone."""
+    try:
+        found = os.stat(path, follow_symlinks=False)
+    except OSError:
+        return None
+    return found.st_size, found.st_mtime_ns // 1000
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """Read the listed files: adds ``content``; files that can no longer be read drop out.
 

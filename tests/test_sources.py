@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,17 @@ def test_empty_folders(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "f").write_text("x")
     assert [r.path for r in walk_tree(spark, str(tmp_path)).collect()] == ["a/f"]
+
+
+def test_names_are_listed_and_files_measured(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, size in (("a", 0), ("sub/b", 7), ("sub/.c", 12)):
+        (tmp_path / name).write_bytes(b"x" * size)
+        os.utime(tmp_path / name, ns=(5_000_000_999, 1_700_000_000_123_456_789))
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    os.mkfifo(tmp_path / "pipe")
+    found = walk_tree(spark, str(tmp_path)).select("path", "length", F.unix_micros("modificationTime").alias("m"))
+    assert sorted(map(tuple, found.collect())) == [(p, n, 1_700_000_000_123_456) for p, n in (("a", 0), ("sub/.c", 12), ("sub/b", 7))]
+    # a folder is not measured by the task that lists it
+    assert "measured-" in "".join(walk_tree(spark, str(tmp_path)).inputFiles())
