@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftworks.functions.bytes import I64_MAX, LATIN1, PAGE_BYTES, SHORT_BUFFER, resolve_offset
+from siftworks.session import staged
 from siftworks.sources.trees import open_filesystem
 
 CHUNK_BYTES = 8 << 20
 BATCH_BYTES = 32 << 20
+BATCH_STRINGS = 50_000  # strings that are handed over at once
 MOST_VALUE = 1 << 30  # bytes of a string that is still given as a value
 
 
@@ -154,43 +156,59 @@ def chunk_strings(chunks: DataFrame, *keys: str, min_length: int = 4) -> DataFra
     """``(<keys>, offset, length, value)``: the runs of printable bytes of files given as chunks, as ``scan_strings`` finds them.
 
     A run that touches a border is a piece; pieces that follow each other without a gap are one string. One of more than
-    a gigabyte has its length and no value; its bytes are a range to read.
+    a gigabyte has its length and no value; its bytes are a range to read. What is found is stored before it is used more
+    than once, so each chunk is read once.
     """
     names = list(keys) or ["path"]
     fields = [f for f in chunks.schema.fields if f.name in names]
+    own = [f.name for f in fields]
     extra = [("offset", T.LongType()), ("length", T.LongType()), ("value", T.StringType()), ("_border", T.BooleanType())]
     schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
     columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = re.compile(rb"[\t\n\r\x20-\x7e]+").finditer
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         for batch in batches:
-            for row in range(batch.num_rows):
-                data, start = batch.column("content")[row].as_py() or b"", batch.column("start")[row].as_py()
-                found = []
-                for match in finder(data):
-                    border = match.start() == 0 or match.end() == len(data)
-                    if border or match.end() - match.start() >= min_length:
-                        found.append((start + match.start(), match.end() - match.start(), match.group().decode("ascii"), border))
-                own = [batch.column(n).take(pa.array([row] * len(found), pa.int64())) for n in columns[: len(fields)]]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            rows, found, held = [], [], 0
+
+            def flush(batch=batch) -> pa.RecordBatch:
+                told = batch.select(own).take(pa.array(rows, pa.int64()))
                 rest = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*own, *rest], names=columns)
+                return pa.RecordBatch.from_arrays([*told.columns, *rest], names=columns)
+
+            starts = batch.column("start").to_pylist()
+            for row, content in enumerate(batch.column("content")):
+                data = content.as_py() or b""
+                for match in finder(data):
+                    first, end = match.span()
+                    border = first == 0 or end == len(data)
+                    if border or end - first >= min_length:
+                        rows.append(row)
+                        found.append((starts[row] + first, end - first, match.group().decode("ascii"), border))
+                        held += end - first
+                        if len(rows) >= BATCH_STRINGS or held >= BATCH_BYTES:
+                            yield flush()
+                            rows, found, held = [], [], 0
+            yield flush()
 
-    found = chunks.select(*[f.name for f in fields], "start", "content").mapInArrow(run, schema)
+    found = staged(chunks.select(*own, "start", "content").mapInArrow(run, schema), "strings")
     inside = found.where("NOT _border").select(*names, "offset", "length", "value")
     pieces = found.where("_border")
     order = Window.partitionBy(*names).orderBy("offset")
-    light = pieces.select(*names, "offset", "length")
+    light = pieces.select(*names, "offset", "length").dropna(subset=names)
     gap = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(order) != F.col("offset"), F.lit(True))
     opened = light.withColumn("_open", F.when(gap, F.col("offset")))
     island = F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = opened.select(*names, "offset", island.alias("_string"))
-    sizes = light.join(placed, [*names, "offset"]).groupBy(*names, "_string").agg(F.sum("length").alias("length"))
-    kept = sizes.where(F.col("length") >= min_length)
-    texts = pieces.select(*names, "offset", "value").join(placed, [*names, "offset"])
-    small = texts.join(kept.where(F.col("length") <= MOST_VALUE).select(*names, "_string"), [*names, "_string"], "left_semi")
+    placed = opened.select(*names, "offset", "length", island.alias("_string"))
+    # the order is one of light rows of a file, and the sums need no shuffle after it
+    total = F.sum("length").over(Window.partitionBy(*names, "_string"))
+    kept = placed.select(*names, "offset", "_string", total.alias("_total")).where(F.col("_total") >= min_length)
+    small = kept.where(F.col("_total") <= MOST_VALUE)
+    texts = pieces.select(*names, "offset", "value").join(small, [*names, "offset"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "value")))
-    values = small.groupBy(*names, "_string").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value"))
-    across = kept.join(values, [*names, "_string"], "left").withColumnRenamed("_string", "offset")
-    return inside.unionByName(across.select(*names, "offset", "length", "value"))
+    values = texts.groupBy(*names, "_string", "_total").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value"))
+    across = values.select(*names, F.col("_string").alias("offset"), F.col("_total").alias("length"), "value")
+    large = kept.where((F.col("_total") > MOST_VALUE) & (F.col("offset") == F.col("_string")))
+    beyond = large.select(*names, "offset", F.col("_total").alias("length"), F.lit(None).cast("string").alias("value"))
+    return inside.unionByName(across).unionByName(beyond)

@@ -105,3 +105,8 @@ def test_files_that_went_away(spark, files, tmp_path):
     listed = walk_tree(spark, str(tmp_path))
     (tmp_path / "x").unlink()
     assert C.read_chunks(C.plan_chunks(listed)).count() == 0
+
+
+def test_chunks_are_read_once(files):
+    found = C.chunk_strings(C.read_chunks(C.plan_chunks(files, chunk=64)))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
